@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
@@ -60,12 +61,12 @@ def beta_lower(a: float, b: float, x: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(_erfc(z.abs().to_numpy(float) / math.sqrt(2)) if len(z) else [], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([
         None if pd.isna(v) or pd.isna(k) or k < 1 else
@@ -73,7 +74,7 @@ def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
         for v, k in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([
         None if pd.isna(v) or d2 <= 0 else beta_lower(d2 / 2, d1 / 2, d2 / (d2 + d1 * v))

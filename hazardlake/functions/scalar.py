@@ -67,7 +67,7 @@ def volcano_label(lfc="log2_fold_change", padj="padj", cut: float = 0.58, alpha:
 
 
 def neg_log10(col) -> Column:
-    return -F.log10(F.col(col))
+    return -F.log10(col)
 
 
 def hash_order(cols, seed: int) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from hazardlake.functions.pvalues import chi2_sf
 from hazardlake.operators.clean import top_n
@@ -66,7 +67,7 @@ def logrank_components(df: DataFrame, group: str, time="time", event="event") ->
         F.sum(F.col("w") * F.col("a.r") / F.col("n") * (same - F.col("b.r") / F.col("n"))).alias("v"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _quadratic_form(cells: pd.Series) -> pd.Series:
     out = []
     for rows in cells:

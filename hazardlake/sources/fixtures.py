@@ -99,3 +99,19 @@ def activity(spark, sf_dir) -> DataFrame:
     return (table(spark, sf_dir, "events").groupBy(sample_id("user_id"), F.col("event_type").alias("feature_id"))
             .agg(F.avg("value").alias("value"))
             .select(F.lit("activity").alias("modality"), "sample_id", "feature_id", "value"))
+
+
+def counts(spark, sf_dir) -> DataFrame:
+    """Count matrix: line items per supplier (sample) and part brand (feature)."""
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    return (l.join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(sample_id("l_suppkey"), F.col("p_brand").alias("feature_id"))
+            .agg(F.count("*").alias("value")))
+
+
+def count_groups(spark, sf_dir) -> DataFrame:
+    """Supplier groups by the region of their nation."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return (s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(sample_id("s_suppkey"), F.when(F.col("n_regionkey") < 2, "BadPrognosis")
+                    .otherwise("GoodPrognosis").alias("grp")))
