@@ -5,7 +5,7 @@ and group; adaptive execution broadcasts it when its measured size allows, and o
 skewed join partitions. A window would move every value of a feature into one task.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlake.operators.clean import top_n
@@ -77,19 +77,23 @@ def group_quantile(df: DataFrame, keys, value: str, q: float = 0.5, alias: str =
     """Exact interpolated quantile per group without gathering any group.
 
     A mergeable sketch brackets the target rank within 2 / accuracy of the rows; only the values
-    inside the bracket are then counted and ranked. For groups of a billion rows and more raise
-    ``accuracy``. A bracket that misses the target raises an error.
+    inside the bracket are then counted and ranked. Groups of at most ``accuracy`` rows are
+    counted whole; for groups of a billion rows and more raise it. A bracket that misses the
+    target raises an error.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     probes = [max(q - 2.0 / accuracy, 0.0), min(q + 2.0 / accuracy, 1.0)]
     bracket = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", probes, accuracy).alias("_b"), F.count("*").alias("_n"))
-    bracket = bracket.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+        F.percentile_approx("_v", probes, accuracy).alias("_b"), F.count("*").alias("_n"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    small = F.col("_n") <= accuracy
+    bracket = bracket.select(*keys, "_n",
+                             F.when(small, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
+                             F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"))
     inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
     counted = (rows.join(bracket, keys).where(F.col("_v") <= F.col("_hi"))
                .groupBy(*keys, "_n", inside.alias("_x")).agg(F.count("*").alias("_c")))
-    from pyspark.sql import Window
     running = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_first())
                                .rowsBetween(Window.unboundedPreceding, 0))
     at = (F.col("_n") - 1) * F.lit(float(q))
