@@ -1,6 +1,7 @@
 """Column expressions of the study; all stay inside the JVM."""
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column
@@ -93,10 +94,10 @@ def hash_normal(cols, seed: int) -> Column:
 STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680]
 
 
-def ln_gamma(x: Column) -> Column:
-    """ln Gamma(x) for x > 0, by the recurrence to x + 8 and Stirling's series there."""
-    y = x + 8.0
-    product = functools.reduce(operator.mul, [x + float(i) for i in range(8)])
-    series = functools.reduce(
-        operator.add, [c / F.pow(y, F.lit(2.0 * i + 1)) for i, c in enumerate(STIRLING)])
-    return ((y - 0.5) * F.ln(y) - y + 0.5 * F.ln(2 * F.pi()) + series) - F.ln(product)
+def ln_gamma(x: str) -> str:
+    """SQL text for ln Gamma of a positive SQL expression: recurrence to x + 8, Stirling there."""
+    y = f"({x} + 8.0D)"
+    product = " * ".join(f"({x} + {i}.0D)" for i in range(8))
+    series = " + ".join(f"{c!r}D / pow({y}, {2 * i + 1})" for i, c in enumerate(STIRLING))
+    return (f"(({y} - 0.5D) * ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}D + {series} "
+            f"- ln({product}))")

@@ -47,19 +47,17 @@ def _profile(base, genes, lo: str, hi: str):
     rows = base.join(genes.select("feature_id", "bad", "q", lo, hi), ["feature_id", "bad"])
     mu = F.col("s") * F.col("q")
     rows = rows.withColumn("mu", F.greatest(mu, F.lit(1e-10))).withColumn("_step", step)
-    aggs = []
-    for i in range(GRID):
-        a = F.exp(F.col(lo) + i * F.col("_step"))
-        r = 1 / a
-        ll = (ln_gamma(F.col("k") + r) - ln_gamma(r) - (F.col("k") + r) * F.log1p(a * F.col("mu"))
-              + F.col("k") * F.ln(a * F.col("mu")))
-        aggs += [F.sum(ll).alias(f"l{i}"),
-                 F.sum(F.col("mu") / (1 + a * F.col("mu"))).alias(f"w{i}")]
-    by_group = rows.groupBy("feature_id", "bad", F.col(lo).alias("lo"), F.col("_step").alias("step")
-                            ).agg(*aggs)
-    total = by_group.groupBy("feature_id", "lo", "step").agg(F.array(*[
-        F.sum(f"l{i}") - 0.5 * F.sum(F.ln(f"w{i}")) for i in range(GRID)]).alias("ll"))
-    return total
+    points = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
+    points = points.withColumn("a", F.exp(F.col(lo) + F.col("i") * F.col("_step"))).withColumn(
+        "r", 1 / F.col("a"))
+    ll = f"{ln_gamma('(k + r)')} - {ln_gamma('r')} - (k + r) * log1p(a * mu) + k * ln(a * mu)"
+    keys = ["feature_id", F.col(lo).alias("lo"), F.col("_step").alias("step"), "i"]
+    sides = points.groupBy("bad", *keys).agg(F.expr(f"sum({ll})").alias("l"),
+                                             F.expr("sum(mu / (1 + a * mu))").alias("w"))
+    value = F.sum("l") - 0.5 * F.sum(F.ln("w"))
+    return (sides.groupBy("feature_id", "lo", "step", "i").agg(value.alias("v"))
+            .groupBy("feature_id", "lo", "step")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("ll")))
 
 
 def _peak(profile, alias, prior=None):
