@@ -141,9 +141,10 @@ def run_experiment(long: DataFrame, clinical: DataFrame, cohort: DataFrame, name
     late = cut_lineage(late)
     width = {(r["cv"], r["modality"]): r["p"] for r in parts.groupBy("cv", "modality").agg(
         F.max(F.size("features")).alias("p")).collect()}
-    masks = _late_masks(width, names, k, combos)
     late_train = late.where(F.col("role") == "train").join(cohort, "sample_id")
-    coefs, cv = coxnet.cox_elastic_net(late_train, masks, alpha, nlambda, nfolds=inner_folds)
+    coefs, cv = coxnet.cox_elastic_net(
+        late_train, lambda grp: _late_masks(width, names, int(grp), combos), alpha, nlambda,
+        nfolds=inner_folds)
     table = _score(late, coefs, cohort, subtypes, ["grp"])
     results = table.select(F.col("grp").cast("int").alias("fold"), F.lit("elastic net").alias("model"),
                            F.lit(label).alias("reduction"),
@@ -165,15 +166,12 @@ SINGLE_LABELS = {"Meth": "Methylation", "Gene": "Gene Expression", "LNC": "LNC R
                  "miRNA": "miRNA", "Clin": "Clinical"}
 
 
-def _late_masks(width, names, k, combos):
-    """Feature positions per combination; the vectors of all folds have the same blocks."""
+def _late_masks(width, names, cv, combos):
+    """Feature positions of every combination in one fold, where blocks may have any width."""
     spans, at = {}, 0
     for m, short in names.items():
-        sizes = {width[(cv, m)] for cv in range(1, k + 1)}
-        if len(sizes) != 1:
-            raise ValueError(f"modality {m} has different widths over folds: {sorted(sizes)}")
-        spans[short] = range(at, at + sizes.pop())
-        at += len(spans[short])
+        spans[short] = range(at, at + width[(cv, m)])
+        at += width[(cv, m)]
     masks = {SINGLE_LABELS[s]: list(r) for s, r in spans.items()}
     masks["Multimodal (Late)"] = list(range(at))
     order = [s for s in E.COMBO_ORDER if s in spans]

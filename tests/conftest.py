@@ -13,6 +13,7 @@ def spark():
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.driver.memory", "12g")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.ui.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -235,3 +235,13 @@ def test_results_independent_of_partitions(spark):
         seen.append((folds, noise, round(cost, 6)))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert seen[0] == seen[1]
+
+
+def test_experiment_with_few_screened_features(spark):
+    """A strict screen leaves other numbers of features in every fold."""
+    long, clin, cohort = study(spark)
+    names = {"o1": "Gene", "o2": "LNC", "cl": "Clin"}
+    out = P.run_experiment(long, clin, cohort, names, method="screen", k=3, screen_sizes={"o1": 6, "o2": 4},
+                           reduced_sizes={"o1": 6, "o2": 4}, early_size=9, nlambda=4, inner_folds=2, combos=False)
+    widths = out["vectors"].groupBy("cv").agg(F.max(F.size("features")).alias("p")).toPandas().p
+    assert widths.max() <= 12 and len(out["results"].collect()) == 3 * 5
