@@ -1,5 +1,6 @@
 """Readers, writers and lineage cuts."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,14 +46,25 @@ def stage(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Only a session whose executors are threads of the driver may leave it unset.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="hazardlake-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
+    folder = checkpoint_dir(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="hazardlake-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
