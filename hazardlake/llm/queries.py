@@ -1,11 +1,13 @@
 """Registered queries of this subpackage and their SQL for DuckDB."""
 
-from . import line_dedup, mixing, warc
+from . import line_dedup, mixing, pieces, token_scan, warc
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
+    "op10_token_counts": token_scan.op10_token_counts,
 }
 
 ORACLE = {
