@@ -26,7 +26,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Distinct chunks after which a worker starts to forget those not met again (some 200 bytes each).
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Characters whose chunks are indexed together.
+SLICE = 2 << 20
 #: Places for pairs of neighbours that a worker remembers.
 PAIRS = 1 << 21
 START, NONE = -1, -2
@@ -43,8 +45,28 @@ def load_model(path: str = MODEL) -> dict:
             "scores": [m.get_score(i) for i in range(len(kinds))], "kinds": kinds}
 
 
+def _chunks(text: str) -> list[str]:
+    """The chunks of a text, each without its first blank. The model puts a blank before a text."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " " or BLANK in text:
+        return [c[1:] for c in CHUNK.findall(BLANK + text.replace(" ", BLANK))]
+    return text.split(" ")
+
+
+def raw_pieces(model: dict) -> list[bytes]:
+    """The bytes that each id stands for; controls stand for none."""
+    return [bytes([int(p[1:-1], 16)]) if k == "b" else b"" if k in "cu" else p.replace(BLANK, " ").encode()
+            for p, k in zip(model["pieces"], model["kinds"])]
+
+
+def decode_ids(raw: list[bytes], ids) -> str:
+    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
+
+
 class Encoder:
-    """Encodes and decodes whole texts; holds the model and the chunks met lately."""
+    """Encodes whole texts; holds the model and the chunks met lately."""
 
     def __init__(self, model: dict):
         pieces, kinds = model["pieces"], model["kinds"]
@@ -53,8 +75,6 @@ class Encoder:
         self.scores, self.pieces = model["scores"], pieces
         self.byte_ids = {int(pieces[i][1:-1], 16): i for i, k in enumerate(kinds) if k == "b"}
         self.unknown = kinds.index("u")
-        self.raw = [bytes([int(p[1:-1], 16)]) if k == "b" else b"" if k in "cu" else p.replace(BLANK, " ").encode()
-                    for p, k in zip(pieces, kinds)]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         letters = sorted({ord(c) for i in normal for c in pieces[i]})
@@ -68,7 +88,7 @@ class Encoder:
         for r, i in enumerate(normal):
             self.patterns[r, :len(pieces[i])] = self.code[[ord(c) for c in pieces[i]]]
         self._grow_trees(normal)
-        self.pair_keys, self.pair_ok = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
+        self._forget_pairs()
 
     def merge(self, text: str) -> list[int]:
         """Merge neighbours of the best score, the leftmost first; the definition of the model.
@@ -108,8 +128,8 @@ class Encoder:
         """
         n, ids = len(self.pieces), self.ids
         self.alone, self.regular = np.zeros(n, bool), np.ones(n, bool)
-        self.right = np.full((n, self.depth + 1), NONE, np.int64)
-        self.left = np.full((n, self.depth + 1), NONE, np.int64)
+        self.right = np.full((n, self.depth + 1), NONE, np.int32)
+        self.left = np.full((n, self.depth + 1), NONE, np.int32)
         score = np.full(n + 1, -np.inf)
         score[normal] = [self.scores[i] for i in normal]
         self.score = score  # the last one, for no piece, is below all
@@ -146,7 +166,7 @@ class Encoder:
         none = len(self.pieces)
         while len(todo):
             p, q = self.right[a[todo], x[todo]], self.left[b[todo], y[todo]]
-            key = p << 32 | q
+            key = p.astype(np.int64) << 32 | q
             at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
             across = self.score[np.where(self.merge_keys[at] == key, self.merge_ids[at], none)]
             nx, ny = self.right[a[todo], x[todo] + 1], self.left[b[todo], y[todo] + 1]
@@ -161,6 +181,17 @@ class Encoder:
             todo = todo[go]
         return apart
 
+    def __getstate__(self):
+        """Without what it has remembered, for a broadcast."""
+        return self.__dict__ | {"known": {}, "older": {}, "pair_keys": None, "pair_ok": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget_pairs()
+
+    def _forget_pairs(self) -> None:
+        self.pair_keys, self.pair_ok = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
+
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
         mixed = (key ^ key >> 17).astype(np.uint64) * MULT
@@ -294,14 +325,14 @@ class Encoder:
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks not met yet. Runs of blanks have equal scores, so these are merged."""
         for c in chunks:
-            if c.startswith(BLANK * 2):
-                self.known[c] = self._spelled(c, self.merge(c))
-        if rest := [c for c in chunks if not c.startswith(BLANK * 2)]:
-            self.known.update(zip(rest, self._relax(rest)))
+            if c.startswith(BLANK):
+                self.known[c] = self._spelled(BLANK + c, self.merge(BLANK + c))
+        if rest := [c for c in chunks if not c.startswith(BLANK)]:
+            self.known.update(zip(rest, self._relax([BLANK + c for c in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as the bytes of 32-bit integers."""
-        split = [CHUNK.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        split = [_chunks(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         new = set(chain.from_iterable(split)).difference(self.known)
@@ -313,33 +344,12 @@ class Encoder:
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
-    def decode(self, ids) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
-
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def encoder_of(shared) -> Encoder:
-    """The worker's encoder for a broadcast model; it lives as long as the worker."""
-    if shared.id not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[shared.id] = Encoder(shared.value)
-    return _ENCODERS[shared.id]
+def shared_encoder(spark, path: str):
+    """An encoder built once on the driver, of fixed size, as a broadcast.
 
-
-class SharedModel:
-    """The model, as a broadcast of fixed size, with a key for the workers' encoders."""
-
-    def __init__(self, spark, path: str):
-        model = load_model(path)
-        self.id = hash((path, len(model["pieces"]), tuple(model["pieces"][-3:])))
-        self.broadcast = spark.sparkContext.broadcast(model)
-
-    @property
-    def value(self):
-        return self.broadcast.value
+    A worker keeps its copy, and with it the chunks met, from task to task.
+    """
+    return spark.sparkContext.broadcast(Encoder(load_model(path)))
 
 
 def _added(df: DataFrame, name: str, kind) -> tuple[list[str], T.StructType]:
@@ -353,14 +363,14 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", model: str = MO
     NULL and empty texts have no ids. Whole texts are encoded, in slices of some megabytes of
     text; a chunk is encoded once per batch however often it occurs. Rows keep their order.
     """
-    shared = SharedModel(docs.sparkSession, model)
+    shared = shared_encoder(docs.sparkSession, model)
     names, schema = _added(docs, to, T.ArrayType(T.IntegerType(), False))
 
     def run(batches):
-        encoder = encoder_of(shared)
+        encoder = shared.value
         for b in batches:
             texts = texts_in(b.column(text))
-            for i, j in slices([len(t) for t in texts]):
+            for i, j in slices([len(t) for t in texts], SLICE):
                 rows = encoder.encode(texts[i:j])
                 ends = (np.cumsum([0, *map(len, rows)]) // 4).astype(np.int32)
                 values = np.frombuffer(b"".join(rows), np.int32)
@@ -378,16 +388,16 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str = MO
     The text is the encoded one, but for U+2581, which the model uses for a blank, and lone
     surrogates, which have no bytes.
     """
-    shared = SharedModel(df.sparkSession, model)
+    shared = df.sparkSession.sparkContext.broadcast(raw_pieces(load_model(model)))
     names, schema = _added(df, to, T.StringType())
 
     def run(batches):
-        encoder = encoder_of(shared)
+        raw = shared.value
         for b in batches:
             lists = b.column(ids)
             for i, j in slices((lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) * 4).tolist()):
                 part = b.slice(i, j - i)
-                texts = [encoder.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in part.column(ids)]
+                texts = [decode_ids(raw, x.values.to_numpy().tolist()) if x.is_valid else "" for x in part.column(ids)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, to])
 

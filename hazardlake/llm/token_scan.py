@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, table, texts_in
-from .pieces import MODEL, SharedModel, encoder_of
+from .pieces import MODEL, SLICE, shared_encoder
 
 #: The end-of-document id of the default model, its </s>, which no text is encoded to.
 EOD = 2
@@ -27,16 +27,16 @@ def write_flat(docs: DataFrame, model: str = MODEL, eod: int = EOD, block_tokens
     nothing in them says where a document begins. Rows without data list doc_ids in the order
     written, from ordinal ``first`` on. NULL texts have no ids, only the separator.
     """
-    shared = SharedModel(docs.sparkSession, model)
+    shared = shared_encoder(docs.sparkSession, model)
 
     def run(batches):
-        encoder, file, ordinal, block = encoder_of(shared), TaskContext.get().partitionId(), 0, 0
+        encoder, file, ordinal, block = shared.value, TaskContext.get().partitionId(), 0, 0
         kind = np.uint16 if len(encoder.pieces) <= 1 << 16 else np.uint32
         held: np.ndarray = np.zeros(0, kind)
         end = np.array([eod], kind)
         for b in batches:
             texts, ids = texts_in(b.column(1)), b.column(0)
-            for i, j in slices([len(t) for t in texts]):
+            for i, j in slices([len(t) for t in texts], SLICE):
                 parts = [held]
                 for r in encoder.encode(texts[i:j]):
                     parts += [np.frombuffer(r, np.int32).astype(kind), end] if r else [end]
