@@ -1,9 +1,11 @@
 """Registered queries of this subpackage and their SQL for DuckDB."""
 
-from . import line_dedup, mixing, pieces, substring_dedup, token_scan, warc
+from . import line_dedup, mixing, pieces, substring_dedup, syncmers, token_scan, vafile, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_vafile": vafile.op2_vafile,
+    "op4_syncmers": syncmers.op4_syncmers,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_mixing": mixing.op8_mixing,
@@ -13,6 +15,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op2_vafile": vafile.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
 }
