@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,13 @@ def slices(sizes, budget: int = 4 << 20):
         yield start, len(sizes)
 
 
+def text_slices(column, budget: int = 1 << 20):
+    """Runs (i, j, texts as UTF-8 bytes) of a text column; NULL is empty. Only a run is unpacked."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, j in slices(sizes, budget):
+        yield i, j, pc.fill_null(column.slice(i, j - i).cast(pa.binary()), b"").to_pylist()
+
+
 def texts_in(column) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, mix64, slices, stored, table, texts_in
+from .common import MULT, mix64, stored, table, text_slices
 from .components import components
 from .hashing import Words
 
@@ -22,7 +22,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, LABEL, RECALL = 16, 8, 0.9995
 #: Documents and shingles of one block of a large group; a task holds two blocks.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 400_000
-SLICE = 2 << 20
 
 
 def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, label: int = LABEL) -> int:
@@ -60,9 +59,8 @@ def signatures(docs: DataFrame, k: int, trees: int, length: int) -> DataFrame:
         for b in batches:
             known = np.flatnonzero(b.column(0).is_valid().to_numpy(zero_copy_only=False))
             b = b.take(pa.array(known))
-            texts = [t.encode("utf-8", "replace") for t in texts_in(b.column(1))]
-            for i, j in slices([len(t) for t in texts], SLICE):
-                row, h = shingles(texts[i:j], k)
+            for i, j, texts in text_slices(b.column(1)):
+                row, h = shingles(texts, k)
                 begin = np.searchsorted(row, np.arange(j - i))
                 n = np.diff(np.append(begin, len(row)))
                 some = np.flatnonzero(n)

@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, table, texts_in
+from .common import stored, table, text_slices
 from .hashing import Words
 
 WIDTH, GRAM = 13, 5
-SLICE = 2 << 20
 #: A span is its first window's place times this, plus its number of windows.
 PACK = 16
 
@@ -74,11 +73,11 @@ def _keyed_spans(docs: DataFrame, width: int, gram: int, repeats: bool) -> DataF
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), [t.encode("utf-8", "replace") for t in texts_in(b.column(1))]
+            ids = b.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for i, j in slices([len(t) for t in texts], SLICE):
-                anchor, segment, row, start, count = _segments(Words(texts[i:j]), width, gram)
+            for i, j, texts in text_slices(b.column(1)):
+                anchor, segment, row, start, count = _segments(Words(texts), width, gram)
                 keep = known[i:j][row]
                 anchor, segment, row, start, count = (x[keep] for x in (anchor, segment, row, start, count))
                 doc, span = ids[i:j][row], start * PACK + count
@@ -142,9 +141,8 @@ def _windows(width: int):
             spans = b.column(2)
             asked = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             b = b.take(pa.array(asked))
-            texts = [t.encode("utf-8", "replace") for t in texts_in(b.column(1))]
-            for i, j in slices([len(t) for t in texts], SLICE):
-                words, part = Words(texts[i:j]), b.slice(i, j - i)
+            for i, j, texts in text_slices(b.column(1)):
+                words, part = Words(texts), b.slice(i, j - i)
                 lists = part.column(2)
                 size = lists.value_lengths().to_numpy()
                 flat = lists.flatten().to_numpy()
@@ -219,10 +217,9 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     def parse(batches):
         for b in batches:
             at = b.schema.names.index("text")
-            texts = [t.encode("utf-8", "replace") for t in texts_in(b.column("text"))]
-            for i, j in slices([len(t) for t in texts], 2 * SLICE):
+            for i, j, texts in text_slices(b.column("text")):
                 part = b.slice(i, j - i)
-                words = [t.split() for t in texts[i:j]]
+                words = [t.split() for t in texts]
                 n = np.array([len(w) for w in words])
                 first = np.concatenate([[0], np.cumsum(n)])
                 (row, *columns), gone = _removed(part.column("_spans"), first, width)
