@@ -1,10 +1,11 @@
 """Registered queries of this subpackage and their SQL for DuckDB."""
 
-from . import line_dedup, mixing, near_dup, pieces, substring_dedup, syncmers, token_scan, vafile, warc
+from . import line_dedup, mixing, near_dup, pieces, substring_dedup, syncmers, token_scan, toxicity, vafile, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_vafile": vafile.op2_vafile,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_syncmers": syncmers.op4_syncmers,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_jaccard_join": near_dup.op6_jaccard_join,
