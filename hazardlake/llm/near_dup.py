@@ -133,15 +133,15 @@ def _verify(k: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(x[some], pa.int64()) for x in (ids, degree, root)], schema=schema)
 
     def run(batches):
-        block, rows = None, []
+        block, rows = None, {}
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in range(3))))
             for key, *row in zip(keys, *(b.column(c).to_pylist() for c in range(3, 6))):
                 if key != block:
                     if len(rows) > 1:
                         yield links(*zip(*rows), block[1] != block[2])
-                    block, rows = key, []
-                rows.append(row)
+                    block, rows = key, {}
+                rows[tuple(row)] = True  # a repeated row counts once
         if len(rows) > 1:
             yield links(*zip(*rows), block[1] != block[2])
 
