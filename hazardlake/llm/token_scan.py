@@ -79,7 +79,7 @@ def scan_separators(blocks: DataFrame, eod: int = EOD, width: int = 2) -> DataFr
                           F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs"),
                           F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("final"))
     placed = placed.withColumn("ends", F.transform("ends", lambda e: e + F.col("tokens")))
-    opened = placed.withColumn("open", F.coalesce(F.max(F.element_at("ends", -1) + 1).over(before), F.lit(0)))
+    opened = placed.withColumn("open", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1)) + 1).over(before), F.lit(0)))
     tail = F.col("tokens") + F.col("n")
     begins = F.concat(F.array("open"), F.transform("ends", lambda e: e + 1))
     # A last block's tail closes one more document if it holds tokens.
