@@ -123,5 +123,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, seed: int = 8) -
                     (F.col("size") * F.col("times")).alias("taken"), "times"))
 
 
+def mixed(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, seed: int = 8) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; columns as they are.
+
+    Rows that agree in doc_id, source and size share their copies evenly.
+    """
+    key = ["_doc_id", "_source", "_size"]
+    times = (mix(docs, weights, repeat, seed).groupBy("doc_id", "source", "size")
+             .agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).withColumnsRenamed(dict(zip(("doc_id", "source", "size"), key))))
+    sized = docs.withColumn("_words", word_count(F.col("text")))
+    same = (sized["doc_id"].eqNullSafe(times["_doc_id"]) & sized["source"].eqNullSafe(times["_source"])
+            & (sized["_words"] == times["_size"]))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
+    each = F.floor(F.col("_times") / F.col("_rows")) + (place <= F.col("_times") % F.col("_rows")).cast("int")
+    rows = sized.join(times, same).withColumn("_n", each.cast("int")).where(F.col("_n") > 0)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
 def op8_mixing(spark, sf_dir) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
