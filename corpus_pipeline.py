@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.llm.common import stored, table
 from hazardlake.llm.line_dedup import dedup_lines
-from hazardlake.llm.mixing import mix
+from hazardlake.llm.mixing import mixed
 from hazardlake.llm.near_dup import jaccard_classes
 from hazardlake.llm.pieces import encode
 from hazardlake.llm.toxicity import REJECT, learn, score
@@ -46,9 +46,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: a row for each time, none for 0."""
-    times = mix(docs).where(F.col("times") > 0).select("doc_id", "source", "size", "times").distinct()
-    taken = times.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).select(*(docs[c] for c in docs.columns))
+    return mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
