@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from hazardlake.sources.tables import cut_lineage
 
-DIRECT = 32           # up to so many partitions the driver adds the vectors itself
 SEGMENT = 1 << 17     # doubles per segment in the tree
 
 
@@ -68,11 +67,10 @@ class ModelRows:
                          pa.array([total[seg:seg + SEGMENT].tobytes()], pa.binary())],
                         names=["part", "seg", "payload"])
         parts = self.df.mapInArrow(run, "part int, seg bigint, payload binary")
-        if self.partitions > DIRECT:
-            fan = math.isqrt(self.partitions)
-            for slot in (F.col("part") % fan, F.lit(0)):
-                parts = (parts.withColumn("part", slot.cast("int")).groupBy("part", "seg")
-                         .applyInPandas(_add_payloads, "part int, seg bigint, payload binary"))
+        fan = max(1, math.isqrt(self.partitions))
+        for slot in (F.col("part") % fan, F.lit(0)):
+            parts = (parts.withColumn("part", slot.cast("int")).groupBy("part", "seg")
+                     .applyInPandas(_add_payloads, "part int, seg bigint, payload binary"))
         total = np.zeros(size)
         for row in sorted(parts.collect(), key=lambda r: (r["seg"], r["part"])):
             piece = np.frombuffer(row["payload"])

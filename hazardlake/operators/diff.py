@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.functions.pvalues import f_sf
 from hazardlake.functions.scalar import beta_to_m
-from hazardlake.operators.layout import complete_features, map_probes_to_genes
+from hazardlake.operators.layout import complete_features, map_probes_to_genes, null_safe_join
 from hazardlake.sources.tables import cut_lineage
 
 BUCKETS = 64
@@ -75,7 +75,7 @@ def bh_adjust(df: DataFrame, p="p", partition_by=(), alias="padj") -> DataFrame:
                 .agg(F.count("*").alias("_n")))
     probes = [i / BUCKETS for i in range(1, BUCKETS)]
     cuts = distinct.groupBy(*by).agg(F.percentile_approx("_p", probes, 1000).alias("_cuts"))
-    placed = distinct.join(cuts, by) if by else distinct.withColumn("_cuts", cuts.scalar())
+    placed = null_safe_join(distinct, cuts, by) if by else distinct.withColumn("_cuts", cuts.scalar())
     placed = placed.withColumn(
         "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_p")))).drop("_cuts")
     inner = Window.partitionBy(*by, "_b")
@@ -86,28 +86,29 @@ def bh_adjust(df: DataFrame, p="p", partition_by=(), alias="padj") -> DataFrame:
     sizes = (sizes.withColumn("_before", F.coalesce(F.sum("_size").over(
         over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_m", F.sum("_size").over(over)))
-    raw = ranked.join(sizes, [*by, "_b"]).withColumn(
+    raw = null_safe_join(ranked, sizes, [*by, "_b"]).withColumn(
         "_raw", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_in")))
     lows = raw.groupBy(*by, "_b").agg(F.min("_raw").alias("_low"))
     lows = lows.select(*by, "_b", F.min("_low").over(
         over.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_next"))
     here = F.min("_raw").over(inner.orderBy(F.col("_p").desc())
                               .rowsBetween(Window.unboundedPreceding, 0))
-    adjusted = (raw.withColumn("_here", here).join(lows, [*by, "_b"])
+    adjusted = (null_safe_join(raw.withColumn("_here", here), lows, [*by, "_b"])
                 .select(*by, F.col("_p").alias(p),
                         F.least(F.lit(1.0), "_here", "_next").alias(alias)))
-    return df.join(adjusted, [*by, p], "left")
+    return null_safe_join(df, adjusted, [*by, p], "left").select(*by, p, *[c for c in df.columns if c not in (*by, p)], alias)
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
     """Median-of-ratios library size per sample, over genes counted in every sample.
 
-    The median runs over the genes of one sample, whose number the study bounds.
+    A gene without a row for a sample counts 0 there, as one with a row of 0 does. The median runs
+    over the genes of one sample, whose number the study bounds.
     """
-    log_mean = (counts.groupBy("feature_id")
-                .agg(F.avg(F.when(F.col("value") > 0, F.ln("value"))).alias("_g"),
-                     F.min("value").alias("_low"))
-                .where(F.col("_low") > 0).select("feature_id", "_g"))
+    samples = counts.agg(F.count_distinct("sample_id")).scalar()
+    log_mean = (counts.where(F.col("value") > 0).groupBy("feature_id")
+                .agg(F.avg(F.ln("value")).alias("_g"), F.count_distinct("sample_id").alias("_n"))
+                .where(F.col("_n") == samples).select("feature_id", "_g"))
     ratio = F.ln("value") - F.col("_g")
     return (counts.where(F.col("value") > 0).join(log_mean, "feature_id")
             .groupBy("sample_id").agg(F.exp(F.median(ratio)).alias("size_factor")))

@@ -7,6 +7,17 @@ the model steps; a feature dictionary fixes the position of every feature.
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on equally named keys where NULL matches NULL; the keys come from the left side."""
+    keys = list(keys)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def to_long(df: DataFrame, ids, features, name="feature_id", value="value") -> DataFrame:
@@ -50,16 +61,23 @@ def feature_dictionary(long: DataFrame, by=("modality",), prefix: dict = None) -
 
 def assemble(long: DataFrame, dictionary: DataFrame, ids=("sample_id",),
              by=("modality",)) -> DataFrame:
-    """Long to vector; a feature that a sample lacks becomes NULL at its position."""
+    """Long to vector; a feature that a sample lacks becomes NULL at its position.
+
+    A sample with two rows for one feature is an error.
+    """
     on = [*by, "feature_id"]
-    pairs = F.collect_list(F.struct("pos", "value"))
+    pairs = F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "value"))
     grouped = (long.join(dictionary.select(*on, "pos", "p"), on)
-               .groupBy(*by, *ids).agg(pairs.alias("pairs"), F.max("p").alias("p")))
-    whole = F.transform(F.array_sort("pairs"), lambda x: x["value"])
-    filled = F.transform(F.sequence(F.lit(1), F.col("p").cast("int")),
-                         lambda i: F.try_element_at(F.map_from_entries("pairs"), i))
-    return grouped.select(
-        *by, *ids, F.when(F.size("pairs") == F.col("p"), whole).otherwise(filled).alias("features"))
+               .groupBy(*by, *ids).agg(pairs.alias("pairs"), F.max("p").cast("int").alias("p")))
+    value = grouped.schema["pairs"].dataType.elementType["value"].dataType
+    have = F.transform("pairs", lambda x: x["pos"])
+    gaps = F.transform(F.array_except(F.sequence(F.lit(1), F.col("p")), have),
+                       lambda i: F.struct(i.alias("pos"), F.lit(None).cast(value).alias("value")))
+    # Positions, not counts, decide what is missing: a repeated feature must not hide a missing one.
+    whole = F.transform(F.array_sort(F.concat("pairs", gaps)), lambda x: x["value"])
+    repeated = F.raise_error(F.lit("a sample has two rows for one feature")).cast(T.ArrayType(value))
+    return grouped.select(*by, *ids, F.when(F.size(F.array_distinct(have)) < F.size("pairs"), repeated)
+                          .otherwise(whole).alias("features"))
 
 
 def explode_vec(vectors: DataFrame, dictionary: DataFrame, ids=("sample_id",),

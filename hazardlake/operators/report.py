@@ -11,6 +11,7 @@ from hazardlake.operators.sampling import COMBO_ORDER
 MULTIMODAL_LATE = "Multimodal (Late)"
 MULTIMODAL_EARLY = "Multimodal (Early)"
 SINGLES = ["Clinical", "miRNA", "mRNA", "Methylation", "LNC RNAs"]
+SINGLE_NAMES = {"Clin": "Clinical", "miRNA": "miRNA", "Gene": "mRNA", "Meth": "Methylation", "LNC": "LNC RNAs"}
 RELABEL = {
     "Gene Expression": "mRNA",
     "Multimodal": MULTIMODAL_LATE,
@@ -71,7 +72,8 @@ def compare(summary: DataFrame, kind: str, early_reduction="One AE", modality="L
         multi = summary.where(name.contains("-") | name.startswith("Multimodal"))
         return top_n(multi, [F.col("cindex").desc(), "data_types", "reduction"], k, ["subtype"])
     if kind == "containing":
-        return summary.where((name == modality + " RNAs") | (name == MULTIMODAL_LATE) | (early & combo))
+        single = SINGLE_NAMES[modality]
+        return summary.where((name == single) | (name == MULTIMODAL_LATE) | (early & combo))
     if kind == "integration":
         return summary.where(name.isin(MULTIMODAL_EARLY, MULTIMODAL_LATE))
     raise ValueError(kind)

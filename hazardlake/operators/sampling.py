@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlake.functions import scalar as S
+from hazardlake.operators.layout import null_safe_join
 
 BUCKET_DIGITS = 3  # leading hex digits of the hash: 4096 buckets per group
 
@@ -31,7 +32,7 @@ def hash_thresholds(df: DataFrame, keys, ranks) -> DataFrame:
               .groupBy(*keys, "_b")
               .agg(F.collect_list((F.col("_r") - (F.col("_cum") - F.col("_c"))).cast("int"))
                    .alias("_in")))
-    near = df.select(*keys, "_h", bucket).join(wanted, [*keys, "_b"])
+    near = null_safe_join(df.select(*keys, "_h", bucket), wanted, [*keys, "_b"])
     rn = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h"))
     return (near.withColumn("_rn", rn).where(F.array_contains("_in", F.col("_rn")))
             .groupBy(*keys).agg(F.array_sort(F.collect_list("_h")).alias("thresholds")))
@@ -44,10 +45,10 @@ def stratified_folds(cohort: DataFrame, by, k: int = 5, seed: int = 3) -> DataFr
     size = lambda j: (F.floor(F.col("_n") / F.lit(k)) * j
                       + F.least(F.col("_n") % k, F.lit(j))).cast("long")
     ends = F.array(*[size(j) for j in range(1, k)])
-    cuts = hash_thresholds(hashed, by, ends)
+    cuts = hash_thresholds(hashed, by, ends)  # NULL is a stratum of its own
     fold = F.size(F.filter(F.coalesce("thresholds", F.array().cast("array<string>")),
                            lambda t: t < F.col("_h"))) + 1
-    return hashed.join(cuts, by, "left").withColumn("fold", fold).select(*cohort.columns, "fold")
+    return null_safe_join(hashed, cuts, by, "left").withColumn("fold", fold).select(*cohort.columns, "fold")
 
 
 def with_roles(folded: DataFrame, k: int = 5, train_filter=None) -> DataFrame:
@@ -67,7 +68,7 @@ def corrupt_zeros(long: DataFrame, p: float = 0.3, seed: int = 5, by=("modality"
     last = F.array(F.floor(F.col("_n") * F.lit(p)).cast("long"))
     cut = hash_thresholds(hashed, keys, last)
     hit = F.col("_h") <= F.get("thresholds", F.lit(0))
-    return (hashed.join(cut, keys, "left")
+    return (null_safe_join(hashed, cut, keys, "left")
             .withColumn("value", F.when(hit, 0.0).otherwise(F.col("value"))).select(*long.columns))
 
 

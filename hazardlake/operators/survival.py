@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from hazardlake.functions.pvalues import chi2_sf
 from hazardlake.operators.clean import top_n
+from hazardlake.operators.layout import null_safe_join
 
 Z95 = 1.959963984540054
 SCORE_BUCKETS = 64
@@ -99,7 +100,7 @@ def _score_from_cells(cells: DataFrame, keys, time: str) -> DataFrame:
     """Score test from per-day cells (n, mean, m2, d, dx), centred on the feature mean."""
     whole = Window.partitionBy(*keys)
     centre = (F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole))
-    c = cells.withColumn("dm", F.col("mean") - centre)
+    c = cells.withColumn("centre", centre).withColumn("dm", F.col("mean") - F.col("centre"))
     c = (c.withColumn("sx", F.col("n") * F.col("dm"))
          .withColumn("sxx", F.col("m2") + F.col("n") * F.col("dm") * F.col("dm"))
          .withColumn("dxc", F.col("dx") - F.col("d") * (F.col("mean") - F.col("dm"))))
@@ -109,9 +110,11 @@ def _score_from_cells(cells: DataFrame, keys, time: str) -> DataFrame:
          .withColumn("s2", F.sum("sxx").over(later) / F.col("n_risk")))
     u = F.sum(F.when(F.col("d") > 0, F.col("dxc") - F.col("d") * F.col("s1")))
     v = F.sum(F.when(F.col("d") > 0, F.col("d") * (F.col("s2") - F.col("s1") * F.col("s1"))))
-    return (c.groupBy(*keys).agg(u.alias("u"), v.alias("v"))
-            .withColumn("chi2", F.when(F.col("v") > 1e-12, F.col("u") * F.col("u") / F.col("v")))
-            .where(F.col("chi2").isNotNull()))
+    # A feature is constant if its variance is rounding error by its own size, whatever its unit.
+    noise = F.sum(F.when(F.col("d") > 0, F.col("d") * (1e-12 * F.col("s2") + 1e-24 * F.col("centre") * F.col("centre"))))
+    return (c.groupBy(*keys).agg(u.alias("u"), v.alias("v"), noise.alias("noise"))
+            .withColumn("chi2", F.when(F.col("v") > F.col("noise"), F.col("u") * F.col("u") / F.col("v")))
+            .where(F.col("chi2").isNotNull()).drop("noise"))
 
 
 def _cells(rows: DataFrame, keys, time, event) -> DataFrame:
@@ -189,7 +192,7 @@ def _score_ranks(rows: DataFrame, by) -> DataFrame:
     """
     probes = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
     cuts = rows.groupBy(*by).agg(F.percentile_approx("s", probes, 1000).alias("cuts"))
-    placed = rows.join(cuts, by) if by else rows.withColumn("cuts", cuts.scalar())
+    placed = null_safe_join(rows, cuts, by) if by else rows.withColumn("cuts", cuts.scalar())
     placed = placed.withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("s"))).cast("bigint"))
     w = Window.partitionBy(*by, "b")
     ranked = placed.drop("cuts").withColumn(

@@ -252,7 +252,7 @@ def oracles():
     (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)"""
     q["first_match_lookup"] = """
     SELECT b.p_brand, s.p_partkey, s.p_name FROM (SELECT DISTINCT p_brand FROM part) b
-    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part WHERE p_size > 48) s
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) s
     ON s.p_brand = b.p_brand AND s.rn = 1"""
     q["subtype_crosstab"] = with_(COHORT, CLINICAL) + """
     SELECT subtype, region, count(*) AS n FROM cohort JOIN clinical USING (sample_id) GROUP BY ALL"""
@@ -283,7 +283,7 @@ def oracles():
     SELECT feature_id, round(avg(value), 6) AS mean FROM brand
     WHERE feature_id IN (SELECT p_brand FROM first_part WHERE p_type = 'PROMO') GROUP BY feature_id"""
     q["feature_split"] = with_(COHORT, BRAND) + """
-    SELECT CASE WHEN feature_id IN (SELECT p_brand FROM part WHERE p_size = 50) THEN 'listed' ELSE 'other' END AS side,
+    SELECT CASE WHEN feature_id IN (SELECT p_brand FROM part GROUP BY p_brand HAVING avg(p_size) > 25) THEN 'listed' ELSE 'other' END AS side,
            feature_id, round(sum(value), 6) AS total FROM brand GROUP BY ALL"""
     q["prefix_select"] = with_(COHORT, BRAND) + """
     SELECT feature_id, round(sum(value), 6) AS total FROM brand
@@ -379,7 +379,7 @@ def oracles():
     q["size_factors"] = """
     WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS sample_id, p_brand, count(*) AS k
                FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-    g AS (SELECT p_brand, avg(ln(k)) AS g FROM c GROUP BY p_brand)
+    g AS (SELECT p_brand, avg(ln(k)) AS g FROM c GROUP BY p_brand HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM c))
     SELECT sample_id, round(exp(median(ln(k) - g)), 6) AS size_factor FROM c JOIN g USING (p_brand) GROUP BY sample_id"""
 
     se = "stddev_samp({0}) / sqrt(CAST(count({0}) AS DOUBLE))"

@@ -237,7 +237,7 @@ def symmetric_difference(spark, sf):
 def first_match_lookup(spark, sf):
     p = X.table(spark, sf, "part")
     brands = p.select("p_brand").distinct()
-    symbols = p.where(F.col("p_size") > 48).select("p_brand", "p_partkey", "p_name")
+    symbols = p.select("p_brand", "p_partkey", "p_name")
     return C.first_match_lookup(brands, symbols, "p_brand", ["p_partkey"])
 
 
@@ -318,7 +318,8 @@ def annotation_filter(spark, sf):
 
 @query
 def feature_split(spark, sf):
-    ids = X.table(spark, sf, "part").where(F.col("p_size") == 50).select(F.col("p_brand").alias("feature_id"))
+    ids = (X.table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature_id"))
+           .agg(F.avg("p_size").alias("size")).where(F.col("size") > 25).select("feature_id"))
     listed, other = Q.split_features(X.brand(spark, sf), ids)
     both = listed.withColumn("side", F.lit("listed")).unionByName(other.withColumn("side", F.lit("other")))
     return rounded(both.groupBy("side", "feature_id").agg(F.sum("value").alias("total")), "total")
