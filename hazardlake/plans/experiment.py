@@ -244,3 +244,44 @@ def pca_plot_table(long: DataFrame, cohort: DataFrame, fold: int = None) -> Data
     out = out.select("modality", "sample_id", F.col("features")[0].alias("pc1"),
                      F.get("features", F.lit(1)).alias("pc2")).join(groups, "sample_id")
     return out if fold is None else out.withColumn("fold", F.lit(fold))
+
+
+def pca_coordinates(long: DataFrame, cohort: DataFrame, roles: DataFrame) -> DataFrame:
+    """First two components of every fold's training rows per modality, fitted apart, with group labels."""
+    from hazardlake.operators.clean import five_year_groups
+    groups = five_year_groups(cohort).select("sample_id", "group_label")
+    train = roles.where(F.col("role") == "train").join(groups.select("sample_id"), "sample_id", "left_semi")
+    rows = scaled_features(long, train.select("cv", "role", "sample_id"))
+    v = cut_lineage(vectors_of(rows).withColumn("grp", F.concat_ws("|", "cv", "modality")))
+    out = reduce.pca_project(v, reduce.pca_fit(v, 2), ("cv", "modality", "sample_id"))
+    return out.select(F.col("cv").alias("fold"), "modality", "sample_id", F.col("features")[0].alias("pc1"),
+                      F.get("features", F.lit(1)).alias("pc2")).join(groups, "sample_id")
+
+
+# The hyper-parameter grid of the autoencoder.
+ACTIVATIONS = ["sigmoid", "tanh", "relu"]
+NOISES = [("zeros", 0.1), ("zeros", 0.3), ("gaussian", 0.1), ("gaussian", 0.5)]
+
+
+def autoencoder_grid(long: DataFrame, size: int, activations=ACTIVATIONS, noises=NOISES, epochs=100, seed=5) -> DataFrame:
+    """(modality, activation, noise, level, mse): the encoder's error under every setting.
+
+    All settings are models of one fit, so an epoch of the whole grid is one scan.
+    """
+    rows = Q.impute_median(Q.zscore(long)).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    rows = cut_lineage(rows)
+    dic = L.feature_dictionary(rows)
+    clean = L.assemble(rows, dic).select("modality", "sample_id", F.col("features").alias("target"))
+    noisy = None
+    for kind, level in noises:
+        part = E.corrupt_zeros(rows, level, seed) if kind == "zeros" else E.corrupt_gaussian(rows, level, seed)
+        part = L.assemble(part, dic).withColumn("setting", F.lit(f"{kind}|{level}"))
+        noisy = part if noisy is None else noisy.unionByName(part)
+    every = F.explode(F.array(*map(F.lit, activations)))
+    pairs = cut_lineage(noisy.join(clean, ["modality", "sample_id"]).withColumn("activation", every)
+                        .withColumn("grp", F.concat_ws("|", "modality", "activation", "setting")))
+    models = [r["grp"] for r in pairs.select("grp").distinct().collect()]
+    fit = reduce.dae_fit(pairs, size, {g: g.split("|")[1] for g in models}, epochs=epochs, seed=seed)
+    part = F.split("grp", "[|]")
+    return reduce.dae_loss(pairs, fit).select(part[0].alias("modality"), part[1].alias("activation"), part[2].alias("noise"),
+                                              part[3].cast("double").alias("level"), "mse")

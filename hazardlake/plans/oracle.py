@@ -376,6 +376,20 @@ def oracles():
                       nullif(CAST(c_custkey % 20 AS DOUBLE) / 100.0::DOUBLE, 0.1::DOUBLE) AS padj FROM customer)
     SELECT c_custkey, CASE WHEN lfc > 0.58 AND padj < 0.05 THEN 'UP' WHEN lfc < -0.58 AND padj < 0.05 THEN 'DOWN'
            ELSE 'NO' END AS diffexpressed, round(-log10(padj + 0.001::DOUBLE), 6) AS neg_log10_p FROM x"""
+    q["raw_expression"] = with_(COHORT) + """,
+    spec AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 19, '0') AS sample_id, o_orderkey, p_brand AS feature_id, sum(l_quantity) AS value
+             FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+    first_one AS (SELECT sample_id, min(o_orderkey) AS o_orderkey FROM spec GROUP BY sample_id),
+    padded AS (SELECT lpad(sample_id, 19, '0') AS sample_id, subtype, event FROM cohort),
+    grid AS (SELECT f.sample_id, b.feature_id, coalesce(s.value, 0.0) AS value
+             FROM first_one f JOIN padded c ON c.sample_id = f.sample_id AND c.subtype = 'LUSC'
+             CROSS JOIN (SELECT DISTINCT feature_id FROM spec) b
+             LEFT JOIN spec s ON s.sample_id = f.sample_id AND s.o_orderkey = f.o_orderkey AND s.feature_id = b.feature_id
+             WHERE b.feature_id NOT IN (SELECT p_brand FROM part GROUP BY p_brand HAVING avg(p_size) > 26)),
+    kept AS (SELECT feature_id FROM grid GROUP BY feature_id
+             HAVING count(*) FILTER (value = 0) < 0.85 * (SELECT count(DISTINCT sample_id) FROM grid))
+    SELECT 'mRNA' AS modality, sample_id, feature_id, value FROM grid
+    WHERE feature_id IN (SELECT feature_id FROM kept) AND sample_id IN (SELECT sample_id FROM padded WHERE event = 0)"""
     q["size_factors"] = """
     WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS sample_id, p_brand, count(*) AS k
                FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),

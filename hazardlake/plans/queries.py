@@ -14,6 +14,7 @@ from hazardlake.operators import report as T
 from hazardlake.operators import sampling as E
 from hazardlake.operators import survival as V
 from hazardlake.operators.nbwald import nb_wald
+from hazardlake.plans import cohort as M
 from hazardlake.plans import experiment as P
 from hazardlake.plans import subtypes as B
 from hazardlake.sources import fixtures as X
@@ -644,7 +645,7 @@ def survival_subtypes(spark, sf):
 
 @query
 def subtype_labels(spark, sf):
-    out = B.survival_subtypes(dense_vectors(spark, sf), X.cohort(spark, sf), choose_restarts=5)
+    out = B.survival_subtypes(dense_vectors(spark, sf), X.cohort(spark, sf), choose_restarts=25)
     return out["labels"].select("sample_id", "subtype", "cluster", "prognosis")
 
 
@@ -674,13 +675,13 @@ def dae_encode(spark, sf):
 @query
 def cox_elastic_net(spark, sf):
     train = dense_vectors(spark, sf).join(X.cohort(spark, sf), "sample_id").withColumn("grp", F.col("modality"))
-    return coxnet.cox_elastic_net(train, nlambda=50, nfolds=10)[0]
+    return coxnet.cox_elastic_net(train, nlambda=100, nfolds=10)[0]
 
 
 @query
 def cox_elastic_net_cv(spark, sf):
     train = dense_vectors(spark, sf).join(X.cohort(spark, sf), "sample_id").withColumn("grp", F.col("subtype"))
-    return coxnet.cox_elastic_net(train, nlambda=20, nfolds=5)[1]
+    return coxnet.cox_elastic_net(train, nlambda=100, nfolds=10)[1]
 
 
 # Short names of the fixture modalities, in vector order, and sizes in proportion to their features.
@@ -739,14 +740,14 @@ def variant_pca(spark, sf):
 
 @query
 def variant_autoencoder(spark, sf):
-    return experiment(spark, sf, "dae", combos=False, epochs=50)["results"]
+    return experiment(spark, sf, "dae", combos=False)["results"]
 
 
 @query
 def autoencoder_loss(spark, sf):
     """Reconstruction error of train and test rows per fold and modality, Gaussian noise."""
     return experiment(spark, sf, "screen+dae", combos=False, early=False, noise="gaussian", level=0.5,
-                      activation="tanh", epochs=50)["loss"]
+                      activation="tanh")["loss"]
 
 
 @query
@@ -762,3 +763,50 @@ def feature_importance(spark, sf):
     named = out.where((F.col("lambda_at") == "min") & (F.col("mask") == "Multimodal (Late)")).select(
         F.col("grp").cast("int").alias("fold"), F.col("pos").cast("string").alias("feature_id"), "coef")
     return T.feature_importance(named, 5)
+
+
+@query
+def autoencoder_grid(spark, sf):
+    """Reconstruction error of every activation, kind of noise and level, on all samples."""
+    return P.autoencoder_grid(X.dense(spark, sf).unionByName(X.brand(spark, sf)), 16)
+
+
+@query
+def pca_run_coordinates(spark, sf):
+    """First two components of one fold's training rows, without one modality."""
+    rows = X.dense(spark, sf).unionByName(X.brand(spark, sf)).unionByName(X.discount(spark, sf))
+    folded = E.stratified_folds(X.cohort(spark, sf), ["subtype"], 5)
+    return T.pca_run(P.pca_coordinates(rows, X.cohort(spark, sf), E.with_roles(folded, 5)), 2, ["discount"])
+
+
+@query
+def subtypes_on_selected(spark, sf):
+    """Clusters of the features that the elastic net keeps in one fold, against the disease."""
+    out = experiment(spark, sf, "screen", combos=False, early=False)
+    vectors = out["vectors"].where(F.col("grp") == "1").select("grp", "sample_id", "features")
+    used = out["coefs"].where((F.col("grp") == "1") & (F.col("mask") == "Multimodal (Late)") & (F.col("lambda_at") == "min"))
+    return B.survival_subtypes(vectors, X.cohort(spark, sf), used, ks=range(1, 6))["crosstab"]
+
+
+# Raw matrices -----------------------------------------------------------------------------------
+
+def specimens(spark, sf):
+    """Raw matrix of orders (specimens of their customer, whose number fills 19 characters) and brands."""
+    o, l, p = X.table(spark, sf, "orders"), X.table(spark, sf, "lineitem"), X.table(spark, sf, "part")
+    name = F.concat(F.lpad(F.col("o_custkey").cast("string"), 19, "0"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    long = (l.join(p, F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy(name.alias("sample_id"), F.col("p_brand").alias("feature_id")).agg(F.sum("l_quantity").alias("value")))
+    brands = long.agg(F.array_sort(F.collect_set("feature_id"))).scalar()
+    grid = long.select("sample_id").distinct().select("sample_id", F.explode(brands).alias("feature_id"))
+    return grid.join(long, ["sample_id", "feature_id"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+@query
+def raw_expression(spark, sf):
+    """Specimens to samples, listed features out, features of many zeros out, cohort rows."""
+    cohort = X.cohort(spark, sf).withColumn("sample_id", F.lpad("sample_id", 19, "0"))
+    listed = (X.table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature_id"))
+              .agg(F.avg("p_size").alias("size")).where(F.col("size") > 26))
+    raw = cut_lineage(specimens(spark, sf))
+    return M.expression(raw, cohort.where(F.col("subtype") == "LUSC"), cohort.where(F.col("event") == 0), "mRNA",
+                        listed, keep_list=False, cut=0.85)

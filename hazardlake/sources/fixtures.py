@@ -9,6 +9,8 @@ per brand, many zeros), ``discount`` (mean discount per priority and flag, with
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardlake.sources.tables import read_table
+
 # Segments that form the first subtype, and the last-order status that is an event.
 FIRST_SUBTYPE = ["BUILDING", "MACHINERY"]
 EVENT_STATUS = "F"
@@ -16,7 +18,7 @@ SUBTYPES = ["LUSC", "LUAD"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def sample_id(col: str):
