@@ -111,13 +111,22 @@ def common_features(a: DataFrame, b: DataFrame) -> DataFrame:
     return select_features(a.unionByName(b), shared)
 
 
-def concat_vectors(vectors: DataFrame, modalities, ids=("sample_id",)) -> DataFrame:
-    """Concatenate the modality vectors of a sample in the listed order (inner join)."""
+def concat_vectors(vectors: DataFrame, modalities, ids=("sample_id",), within=()) -> DataFrame:
+    """Concatenate the modality vectors of a sample in the listed order (inner join).
+
+    ``within`` names those of ``ids`` that make an experiment: a modality without any vector in one
+    (none of its features was kept) is an empty vector there, so the experiment does not vanish.
+    """
     order = F.array_position(F.array(*[F.lit(m) for m in modalities]), F.col("modality"))
     parts = F.array_sort(F.collect_list(F.struct(order.alias("o"), "features")))
-    return (vectors.where(F.col("modality").isin(list(modalities)))
-            .groupBy(*ids).agg(parts.alias("parts"))
-            .where(F.size("parts") == len(modalities))
+    listed = vectors.where(F.col("modality").isin(list(modalities)))
+    whole = listed.groupBy(*ids).agg(parts.alias("parts"))
+    if within:
+        present = listed.select(*within, "modality").distinct().groupBy(*within).agg(F.count("*").alias("_need"))
+        whole = null_safe_join(whole, present, within)
+    else:
+        whole = whole.withColumn("_need", F.lit(len(modalities)))
+    return (whole.where(F.size("parts") == F.col("_need"))
             .select(*ids, F.flatten(F.transform("parts", lambda x: x["features"])).alias("features")))
 
 

@@ -137,7 +137,7 @@ def run_experiment(long: DataFrame, clinical: DataFrame, cohort: DataFrame, name
     # Late integration: one vector per sample, one feature mask per combination.
     parts = cut_lineage(reduced.select(*ids, "features").unionByName(
         clin_vectors.select(*ids, "features")))
-    late = L.concat_vectors(parts, omics + clin, ("cv", *IDS)).withColumn("grp", F.col("cv").cast("string"))
+    late = L.concat_vectors(parts, omics + clin, ("cv", *IDS), ("cv",)).withColumn("grp", F.col("cv").cast("string"))
     late = cut_lineage(late)
     width = {(r["cv"], r["modality"]): r["p"] for r in parts.groupBy("cv", "modality").agg(
         F.max(F.size("features")).alias("p")).collect()}
@@ -170,8 +170,9 @@ def _late_masks(width, names, cv, combos):
     """Feature positions of every combination in one fold, where blocks may have any width."""
     spans, at = {}, 0
     for m, short in names.items():
-        spans[short] = range(at, at + width[(cv, m)])
-        at += width[(cv, m)]
+        n = width.get((cv, m), 0)  # no feature of it was kept in this fold
+        spans[short] = range(at, at + n)
+        at += n
     masks = {SINGLE_LABELS[s]: list(r) for s, r in spans.items()}
     masks["Multimodal (Late)"] = list(range(at))
     order = [s for s in E.COMBO_ORDER if s in spans]

@@ -102,3 +102,10 @@ def test_rows_that_contain_a_modality(spark, modality, label):
     df = spark.createDataFrame([(n, "x") for n in names] + [(f"{modality}-Clin", "One AE"), (f"{modality}-Clin", "x")], "data_types string, reduction string")
     got = rows_of(report.compare(df, "containing", modality=modality), "data_types", "reduction")
     assert got == {(label, "x"), (f"{modality}-Clin", "One AE")}
+
+
+def test_a_modality_may_be_empty_in_one_fold(spark):
+    df = spark.createDataFrame([(1, "x", "a", [1.0]), (1, "y", "a", [2.0]), (1, "x", "b", [5.0]), (2, "x", "a", [3.0]), (2, "x", "b", [4.0])],
+                               "cv int, modality string, sample_id string, features array<double>")
+    got = rows_of(layout.concat_vectors(df, ["y", "x"], ("cv", "sample_id"), ("cv",)).withColumn("v", F.col("features").cast("string")), "cv", "sample_id", "v")
+    assert got == {(1, "a", "[2.0, 1.0]"), (2, "a", "[3.0]"), (2, "b", "[4.0]")}
