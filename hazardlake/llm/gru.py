@@ -280,7 +280,9 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 300, seed: int =
                 m, v = moment[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                net.p[k] = (net.p[k] - (rate / 10 if k in ("word", "char") else rate) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-7) - 1e-5 * net.p[k]).astype(np.float32)
+                own = rate / 10 if k in ("word", "char") else rate
+                move = (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-7)
+                net.p[k] = (net.p[k] - own * move - 1e-5 * net.p[k]).astype(np.float32)
     net.calibrate(*kept)
     return net
 
