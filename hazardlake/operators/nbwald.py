@@ -108,13 +108,17 @@ def nb_wald(counts: DataFrame, groups: DataFrame, factors: DataFrame = None,
     """Test every feature of ``counts(sample_id, feature_id, value)`` between two groups.
 
     ``groups(sample_id, grp)``. Returns base_mean, dispersion, log2_fold_change (bad over good),
-    lfc_se, stat, p and adjusted p. Features without any count drop out.
+    lfc_se, stat, p and adjusted p. Features without any count drop out; an absent row counts 0.
     """
     factors = size_factors(counts) if factors is None else factors
     samples = cut_lineage(groups.select("sample_id", (F.col("grp") == bad).cast("int").alias("bad"))
                           .join(factors, "sample_id"))
-    base = cut_lineage(counts.join(samples, "sample_id").select(
-        "feature_id", "bad", F.col("value").cast("double").alias("k"),
+    # A gene without a row for a sample counts 0 there; the matrix has genes x samples cells.
+    listed = samples.agg(F.collect_list(F.struct("sample_id", "bad", "size_factor"))).scalar()
+    cells = (counts.select("feature_id").distinct().select("feature_id", F.explode(listed).alias("x"))
+             .select("feature_id", "x.*"))
+    base = cut_lineage(cells.join(counts, ["feature_id", "sample_id"], "left").select(
+        "feature_id", "bad", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("k"),
         F.col("size_factor").alias("s")))
     m = samples.count()
     norm = F.col("k") / F.col("s")
