@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from hazardlake.sources.tables import cut_lineage
 
 SEGMENT = 1 << 17     # doubles per segment in the tree
+PARTITION_BYTES = 64 << 20
 
 
 class ModelRows:
@@ -38,8 +39,9 @@ class ModelRows:
         self.groups = [r["grp"] for r in models]
         self.n = np.array([r["n"] for r in models], dtype=float)
         self.p = [r["p"] for r in models]
-        self.partitions = max(spark.sparkContext.defaultParallelism,
-                              int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # Enough partitions for the cores, and for none to hold more than PARTITION_BYTES.
+        volume = 8 * sum(n * p for n, p in zip(self.n, self.p))
+        self.partitions = max(spark.sparkContext.defaultParallelism, math.ceil(volume / PARTITION_BYTES))
         names = F.array(*[F.lit(g) for g in self.groups])
         self.df = (df.withColumn("gid", (F.array_position(names, F.col("grp")) - 1).cast("int"))
                    .repartition(self.partitions, "grp", "sample_id").sortWithinPartitions("gid")
