@@ -702,7 +702,7 @@ def experiment(spark, sf, method, **options):
     rows = None
     for source in (X.dense, X.brand, X.discount, X.activity):
         rows = source(spark, sf) if rows is None else rows.unionByName(source(spark, sf))
-    settings = dict(screen_sizes=SCREENED, reduced_sizes=REDUCED, early_size=10, nlambda=20, inner_folds=3)
+    settings = dict(screen_sizes=SCREENED, reduced_sizes=REDUCED, early_size=10)
     return P.run_experiment(cut_lineage(rows), cut_lineage(clinical_features(spark, sf)),
                             cut_lineage(X.cohort(spark, sf)), NAMES, method=method, **{**settings, **options})
 
@@ -724,28 +724,31 @@ def late_integration(spark, sf):
 @query
 def early_integration(spark, sf):
     """Concatenate screened features, reduce once, add clinical variables: every early combination."""
-    out = experiment(spark, sf, "screen", combos=True)["results"]
+    out = experiment(spark, sf, "screen")["results"]
     return out.where(F.col("integration") == "early")
 
 
 @query
 def variant_screen_only(spark, sf):
-    return experiment(spark, sf, "screen", combos=False)["results"]
+    return experiment(spark, sf, "screen")["results"]
 
 
 @query
 def variant_pca(spark, sf):
-    return experiment(spark, sf, "pca", combos=False)["results"]
+    return experiment(spark, sf, "pca")["results"]
 
 
 @query
 def variant_autoencoder(spark, sf):
-    return experiment(spark, sf, "dae", combos=False)["results"]
+    return experiment(spark, sf, "dae")["results"]
 
 
 @query
 def autoencoder_loss(spark, sf):
-    """Reconstruction error of train and test rows per fold and modality, Gaussian noise."""
+    """Reconstruction error of train and test rows per fold and modality, Gaussian noise.
+
+    No late combination is fitted: autoencoders are per modality, so they have no part in this table.
+    """
     return experiment(spark, sf, "screen+dae", combos=False, early=False, noise="gaussian", level=0.5,
                       activation="tanh")["loss"]
 
@@ -753,12 +756,13 @@ def autoencoder_loss(spark, sf):
 @query
 def train_one_subtype(spark, sf):
     """Training rows of one subtype, scores on both."""
-    return experiment(spark, sf, "screen", combos=False, early=False,
+    return experiment(spark, sf, "screen", early=False,
                       train_filter=F.col("subtype") == X.SUBTYPES[1])["results"]
 
 
 @query
 def feature_importance(spark, sf):
+    # Models of other combinations have no part in the coefficients of the whole one.
     out = experiment(spark, sf, "screen", combos=False, early=False)["coefs"]
     named = out.where((F.col("lambda_at") == "min") & (F.col("mask") == "Multimodal (Late)")).select(
         F.col("grp").cast("int").alias("fold"), F.col("pos").cast("string").alias("feature_id"), "coef")
@@ -785,7 +789,7 @@ def subtypes_on_selected(spark, sf):
     out = experiment(spark, sf, "screen", combos=False, early=False)
     vectors = out["vectors"].where(F.col("grp") == "1").select("grp", "sample_id", "features")
     used = out["coefs"].where((F.col("grp") == "1") & (F.col("mask") == "Multimodal (Late)") & (F.col("lambda_at") == "min"))
-    return B.survival_subtypes(vectors, X.cohort(spark, sf), used, ks=range(1, 6))["crosstab"]
+    return B.survival_subtypes(vectors, X.cohort(spark, sf), used)["crosstab"]
 
 
 # Raw matrices -----------------------------------------------------------------------------------

@@ -243,3 +243,45 @@ def test_experiment_with_few_screened_features(spark):
                            reduced_sizes={"o1": 6, "o2": 4}, early_size=9, nlambda=4, inner_folds=2, combos=False)
     widths = out["vectors"].groupBy("cv").agg(F.max(F.size("features")).alias("p")).toPandas().p
     assert widths.max() <= 12 and len(out["results"].collect()) == 3 * 5
+
+
+STUDIES = {"late_integration", "early_integration", "variant_screen_only", "variant_pca", "variant_autoencoder",
+           "autoencoder_loss", "train_one_subtype", "feature_importance", "subtypes_on_selected"}
+
+
+def test_registered_studies_are_whole(spark, monkeypatch):
+    """All penalties and inner folds, all combinations that the query returns, all numbers of clusters."""
+    import inspect
+
+    from hazardlake.plans import queries, subtypes
+    study, clusters = inspect.signature(P.run_experiment), inspect.signature(subtypes.survival_subtypes)
+    seen = {}
+
+    class Called(Exception):
+        pass
+
+    def run(*args, **options):
+        bound = study.bind(*args, **options)
+        bound.apply_defaults()
+        seen[name] = bound.arguments
+        if name != "subtypes_on_selected":
+            raise Called
+        rows = spark.createDataFrame([], "grp string, sample_id string, features array<double>, mask string, lambda_at string")
+        return {"vectors": rows, "coefs": rows}
+
+    def cluster(*args, **options):
+        bound = clusters.bind(*args, **options)
+        bound.apply_defaults()
+        seen["ks"] = list(bound.arguments["ks"])
+        raise Called
+
+    monkeypatch.setattr(queries.P, "run_experiment", run)
+    monkeypatch.setattr(queries.B, "survival_subtypes", cluster)
+    monkeypatch.setattr(queries, "cut_lineage", lambda df: df)
+    for name in STUDIES:
+        with pytest.raises(Called):
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert {(x["nlambda"], x["inner_folds"], x["k"], x["epochs"]) for n, x in seen.items() if n != "ks"} == {(100, 10, 5, 100)}
+    one = {"autoencoder_loss", "feature_importance", "subtypes_on_selected"}  # tables without other combinations
+    assert {n for n, x in seen.items() if n != "ks" and not x["combos"]} == one
+    assert seen["ks"] == list(range(1, 11))
