@@ -114,9 +114,8 @@ def nb_wald(counts: DataFrame, groups: DataFrame, factors: DataFrame = None,
     samples = cut_lineage(groups.select("sample_id", (F.col("grp") == bad).cast("int").alias("bad"))
                           .join(factors, "sample_id"))
     # A gene without a row for a sample counts 0 there; the matrix has genes x samples cells.
-    listed = samples.agg(F.collect_list(F.struct("sample_id", "bad", "size_factor"))).scalar()
-    cells = (counts.select("feature_id").distinct().select("feature_id", F.explode(listed).alias("x"))
-             .select("feature_id", "x.*"))
+    # Samples stay where they are, and each meets the few features.
+    cells = samples.crossJoin(counts.select("feature_id").distinct())
     base = cut_lineage(cells.join(counts, ["feature_id", "sample_id"], "left").select(
         "feature_id", "bad", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("k"),
         F.col("size_factor").alias("s")))

@@ -285,3 +285,19 @@ def test_registered_studies_are_whole(spark, monkeypatch):
     one = {"autoencoder_loss", "feature_importance", "subtypes_on_selected"}  # tables without other combinations
     assert {n for n, x in seen.items() if n != "ks" and not x["combos"]} == one
     assert seen["ks"] == list(range(1, 11))
+
+
+def test_nb_wald_gathers_no_samples(spark, monkeypatch):
+    """Samples stay spread, absent cells count 0, and the numbers are those of the whole matrix."""
+    counts, groups, _, _ = nb_counts(spark)
+    plans, cut = [], W.cut_lineage
+    monkeypatch.setattr(W, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    zeros = counts.withColumn("value", F.when(F.hash("sample_id", "feature_id") % 3 == 0, 0).otherwise(F.col("value")))
+    zeros = zeros.withColumn("value", F.when(F.col("feature_id") == "g01", F.col("value") + 1).otherwise(F.col("value")))  # in all samples
+    factors = groups.select("sample_id", (1 + F.pmod(F.hash("sample_id"), F.lit(5)) / 10).alias("size_factor"))
+    whole, sparse = (W.nb_wald(df, groups, factors).toPandas().set_index("feature_id").sort_index()
+                     for df in (zeros, zeros.where("value > 0")))
+    assert len(whole) == 12
+    pd.testing.assert_frame_equal(whole, sparse, rtol=1e-9)
+    assert not any("size_factor" in line and "collect_list" in line for p in plans for line in p.splitlines())
+    assert not any("scalar-subquery" in p for p in plans)
