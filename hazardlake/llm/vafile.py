@@ -18,6 +18,8 @@ from .common import stored, table
 
 #: Cells per dimension, queries that one scan serves, and rows whose bounds are held at once.
 CELLS, QUERIES, ROWS = 64, 2048, 1024
+#: Stands where a query has no kth vector yet.
+NOBODY = np.iinfo(np.int64).max
 
 
 def scaled(embeddings: DataFrame, factor: int = 256) -> DataFrame:
@@ -70,7 +72,7 @@ def _search(grid: Cells, asked: np.ndarray, queries: np.ndarray, k: int):
     def run(batches):
         n = len(asked)
         best = np.full((n, k), -(1 << 62))
-        who = np.full((n, k), np.iinfo(np.int64).max)
+        who = np.full((n, k), NOBODY)
         floor = np.full(n, -np.inf)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
@@ -80,8 +82,12 @@ def _search(grid: Cells, asked: np.ndarray, queries: np.ndarray, k: int):
                 lower, upper = grid.bounds(cells, queries)
                 itself = ids[:, None] == asked
                 lower[itself] = upper[itself] = -np.inf
-                if len(ids) >= k:
-                    floor = np.maximum(floor, np.partition(lower, len(ids) - k, axis=0)[len(ids) - k])
+                # Rows that repeat a vec_id count once: k different ones must reach the floor.
+                by_id = np.argsort(ids, kind="stable")
+                first = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1))
+                least = lower if len(first) == len(ids) else np.maximum.reduceat(lower[by_id], first)
+                if len(least) >= k:
+                    floor = np.maximum(floor, np.partition(least, len(least) - k, axis=0)[len(least) - k])
                 floor = np.maximum(floor, best[:, -1])
                 open_ = upper >= floor
                 exact = _matrix(part.column(2))
@@ -93,9 +99,13 @@ def _search(grid: Cells, asked: np.ndarray, queries: np.ndarray, k: int):
                         if upper[some[0], q] < best[q, -1]:
                             break
                         score, ident = np.append(best[q], exact[some] @ queries[q]), np.append(who[q], ids[some])
-                        order = np.lexsort((ident, -score))[:k]
-                        best[q], who[q] = score[order], ident[order]
-        q, r = np.nonzero(who != np.iinfo(np.int64).max)
+                        order = np.lexsort((ident, -score))
+                        if len(set(ident[order[:k]].tolist())) < k:  # of each vec_id the best
+                            order = order[np.sort(np.unique(ident[order], return_index=True)[1])]
+                        order = order[:k]
+                        best[q], who[q] = -(1 << 62), NOBODY
+                        best[q, :len(order)], who[q, :len(order)] = score[order], ident[order]
+        q, r = np.nonzero(who != NOBODY)
         yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(who[q, r]), pa.array(best[q, r])],
                                          names=["query_id", "vec_id", "score"])
 
@@ -108,19 +118,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both tables have (vec_id, v), all v of one length; a query is not its own result, ties go to
     the smaller vec_id, and all vectors are results if there are fewer than k. Queries come in
     blocks of ``QUERIES``, which is what a task holds; each block scans the file once, and a
-    partition sends at most k rows a query on. Rows that repeat a vec_id are one vector: the best
-    of them counts. An empty table has no results. Scores must stay below 2^53.
+    partition sends at most k different vectors a query on. Rows that repeat a vec_id are one vector
+    or one query: the best score of their rows counts. An empty table has no results. Scores must stay below 2^53.
     """
     empty = "query_id long, vec_id long, score long"
     file, grid = build(vectors)
-    asked = stored(queries.dropDuplicates(["vec_id"]))
+    asked = stored(queries.select("vec_id", "v").distinct())
     n = asked.count()
     spark = vectors.sparkSession
     parts = []
     blocks = -(-n // QUERIES)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks)))
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, blocks)))
     for i in range(blocks):
-        rows = asked.where(block == i).orderBy("vec_id").toArrow()
+        rows = asked.where(block == i).orderBy("vec_id", "v").toArrow()
         if not rows.num_rows or not len(grid.low):
             continue
         ids, q = rows.column(0).to_numpy(), _matrix(rows.column(1).combine_chunks())

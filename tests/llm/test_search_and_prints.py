@@ -38,6 +38,24 @@ def test_repeated_vectors_count_once(spark):
     assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1), (2, 2)]
 
 
+def test_vectors_of_many_rows_leave_room_for_others(spark):
+    """A partition has more rows of the best vec_id, and of another with different vectors, than results."""
+    rng = np.random.default_rng(3)
+    x = [(i, rng.integers(-9, 9, 4).tolist()) for i in range(40)]
+    x += [(1, [30, 30, 30, 30])] * 9 + [(7, [20 + j, 9, 9, 9]) for j in range(9)] + [(0, [1, j, 2, 3]) for j in range(9)]
+    rnd = rng.permutation(len(x)).tolist()
+    scores = {}
+    for q, a in x:
+        for i, b in x:
+            if q == 0 and i != 0:
+                scores[i] = max(scores.get(i, -10**9), 256 * 256 * int(np.dot(a, b)))
+    want = [(0, n + 1, i, s) for n, (i, s) in enumerate(sorted(scores.items(), key=lambda r: (-r[1], r[0]))[:5])]
+    df = spark.createDataFrame([(x[i][0], [float(y) for y in x[i][1]]) for i in rnd], "vec_id long, embedding array<float>")
+    for parts in (1, 3):
+        v = vafile.scaled(df.coalesce(1) if parts == 1 else df.repartition(parts))
+        assert sorted(tuple(r) for r in vafile.top_k(v, v.where("vec_id = 0")).collect()) == want
+
+
 def test_no_vectors(spark):
     v = vafile.scaled(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert vafile.top_k(v, v).count() == 0
