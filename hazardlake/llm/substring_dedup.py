@@ -27,9 +27,11 @@ WIDTH, GRAM = 13, 5
 #: A span is its first window's place times this, plus its number of windows.
 PACK = 16
 
-_KEYED = "anchor long, segment int, doc_id long, span long"
+_KEYED = "anchor long, segment long, segment2 long, doc_id long, span long"
 _SPANS = "doc_id long, span long, ref_doc long, ref_span long"
-_KEYED_ARROW = pa.schema([("anchor", pa.int64()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("span", pa.int64())])
+_KEYED_ARROW = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64())])
+#: With the second of a segment's two hashes, as blocks are made.
+_TWICE_ARROW = _KEYED_ARROW.insert(2, pa.field("segment2", pa.int64()))
 _SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("span", pa.int64()), ("ref_doc", pa.int64()), ("ref_span", pa.int64())])
 
 
@@ -43,11 +45,11 @@ def _without_reference(doc, span) -> pa.RecordBatch:
 
 
 def _segments(words: Words, width: int, gram: int):
-    """Anchor, segment hash, text row, first window (in its text) and windows of all segments."""
+    """Anchor, two segment hashes, text row, first window (in its text) and windows of all segments."""
     n = len(words.h) - width + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none.view(np.uint64), none.astype(np.int32), none, none, none
+        return none.view(np.uint64), none, none, none, none, none
     keys = words.grams(gram, 1)
     best, place = keys[:n].copy(), np.arange(n)
     for j in range(1, width - gram + 1):
@@ -56,12 +58,13 @@ def _segments(words: Words, width: int, gram: int):
         np.minimum(best, keys[j:j + n], out=best)
     inside = np.flatnonzero(words.row[:n] == words.row[width - 1:])
     if not len(inside):
-        return none.view(np.uint64), none.astype(np.int32), none, none, none
+        return none.view(np.uint64), none, none, none, none, none
     p, r = place[inside], words.row[inside]
     new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (r[1:] != r[:-1])]))
     start, count = inside[new], np.diff(np.append(new, len(inside)))
-    segment = words.run(words.sums(2), start, start + count + width - 1)
-    return keys[p[new]], (segment >> np.uint64(32)).astype(np.uint32).view(np.int32), r[new], start - words.first[r[new]], count
+    # Rows of one block share the anchor, so there only these hashes tell segments apart.
+    one, two = (words.run(words.sums(salt), start, start + count + width - 1).view(np.int64) for salt in (2, 5))
+    return keys[p[new]], one, two, r[new], start - words.first[r[new]], count
 
 
 def _keyed_spans(docs: DataFrame, width: int, gram: int, repeats: bool) -> DataFrame:
@@ -77,37 +80,39 @@ def _keyed_spans(docs: DataFrame, width: int, gram: int, repeats: bool) -> DataF
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
             for i, j, texts in text_slices(b.column(1)):
-                anchor, segment, row, start, count = _segments(Words(texts), width, gram)
+                anchor, one, two, row, start, count = _segments(Words(texts), width, gram)
                 keep = known[i:j][row]
-                anchor, segment, row, start, count = (x[keep] for x in (anchor, segment, row, start, count))
+                anchor, one, two, row, start, count = (x[keep] for x in (anchor, one, two, row, start, count))
                 doc, span = ids[i:j][row], start * PACK + count
-                order = np.lexsort((span, doc, segment, anchor))
-                anchor, segment, doc, span = (x[order] for x in (anchor, segment, doc, span))
-                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])[:len(anchor)]
+                order = np.lexsort((span, doc, two, one, anchor))
+                anchor, one, two, doc, span = (x[order] for x in (anchor, one, two, doc, span))
+                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[:len(anchor)]
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
                 copy = doc != doc[head]
                 if repeats:
                     yield _record(_SPAN_ARROW, doc[copy], span[copy], doc[head][copy], span[head][copy])
                 else:
-                    yield _record(_KEYED_ARROW, *(x[~copy] for x in (anchor.view(np.int64), segment, doc, span)))
+                    yield _record(_TWICE_ARROW, *(x[~copy] for x in (anchor.view(np.int64), one, two, doc, span)))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SPANS if repeats else _KEYED)
 
 
 def _resolve(batches):
-    """Spans of a block, sorted by (anchor, segment, doc_id, span), as they stream by.
+    """Spans of a block, sorted by (anchor, segment hashes, doc_id, span), as they stream by.
 
     A segment's later documents refer to its first one. Spans of first documents come without a
     reference if their anchor has other segments too, whose windows they may share.
     """
-    anchor = segment = doc = span = None  # of the group open at the end of the last batch
+    anchor = segments = doc = span = None  # of the group open at the end of the last batch
     several, held_doc, held_span = False, np.zeros(0, np.int64), np.zeros(0, np.int64)
     for b in batches:
         if not b.num_rows:
             continue
-        a, s, d, p = (c.to_numpy() for c in b.columns)
+        a, *hashes, d, p = (c.to_numpy() for c in b.columns)
         new_anchor = np.concatenate([[anchor is None or a[0] != anchor], a[1:] != a[:-1]])
-        new = new_anchor | np.concatenate([[segment is None or s[0] != segment], s[1:] != s[:-1]])
+        new = new_anchor.copy()
+        for k, s in enumerate(hashes):
+            new |= np.concatenate([[segments is None or s[0] != segments[k]], s[1:] != s[:-1]])
         group = np.cumsum(new)
         at = np.flatnonzero(new)
         first_doc = np.concatenate([[0 if doc is None else doc], d[at]])[group]
@@ -128,7 +133,7 @@ def _resolve(batches):
         held_doc, held_span = np.concatenate([held_doc, d[wait]]), np.concatenate([held_span, p[wait]])
         yield _record(_SPAN_ARROW, d[~own], p[~own], first_doc[~own], first_span[~own])
         yield _without_reference(d[check], p[check])
-        anchor, segment, doc, span = a[-1], s[-1], first_doc[-1], first_span[-1]
+        anchor, segments, doc, span = a[-1], [s[-1] for s in hashes], first_doc[-1], first_span[-1]
         several = bool(many[number[-1]])
 
 
@@ -189,13 +194,13 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     may overlap at their borders). Columns of these three names are replaced, others pass through.
     NULL and empty texts have no words. Rows without doc_id lose and remove nothing. Rows that
     repeat a doc_id are one document, so they never remove each other; what is found in one of
-    them is removed at that place of each. Segments are compared by 96 bits of hash, windows by 128.
+    them is removed at that place of each. Segments and windows are compared by 128 bits of hash.
     """
     if not gram < width < PACK + gram:
         raise ValueError("gram < width < gram + 16")
     # Documents are read by both joins below in the same form, so they are shuffled once.
     keyed = _keyed_spans(docs, width, gram, repeats=False)
-    blocks = keyed.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "span")
+    blocks = keyed.repartition("anchor").sortWithinPartitions("anchor", "segment", "segment2", "doc_id", "span")
     resolved = stored(blocks.mapInArrow(_resolve, _SPANS))
     asked = resolved.where(F.col("ref_doc").isNull()).groupBy("doc_id").agg(F.collect_list("span").alias("_spans"))
     kept = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "factors")]

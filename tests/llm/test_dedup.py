@@ -66,6 +66,19 @@ def test_substrings_of_random_texts(spark, width, gram):
     assert order(got) == order(removed(rows, width))
 
 
+def test_many_segments_of_one_anchor(spark):
+    """Different contexts of one phrase are no copies, however many they are."""
+    rng = np.random.default_rng(4)
+    grams = [" ".join(f"c{x}" for x in g) for g in rng.integers(0, 10**6, (100_000, 5)).tolist()]
+    words = substring_dedup.Words([g.encode() for g in grams])
+    phrase = grams[int(np.argmin(words.grams(5, 1)[::5]))]
+    near = rng.integers(0, 1 << 40, (300_000, 8)).tolist()
+    rows = [(i, " ".join([*(f"{x:x}" for x in n[:4]), phrase, *(f"{x:x}" for x in n[4:])])) for i, n in enumerate(near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = substring_dedup.remove_substrings(df).agg(F.count("*"), F.sum("n_words"), F.sum("n_removed")).first()
+    assert tuple(out) == (300_000, 13 * 300_000, 0)
+
+
 def test_blocks_in_small_batches():
     """An anchor's segments may be spread over any number of batches."""
     import pyarrow as pa
