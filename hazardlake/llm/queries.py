@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL for DuckDB."""
 
-from . import line_dedup, mixing, near_dup, pieces, substring_dedup, syncmers, token_scan, toxicity, vafile, warc
+from . import line_dedup, mixing, near_dup, pieces, prefix_trie, substring_dedup, syncmers, token_scan, toxicity, vafile, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_token_counts": token_scan.op10_token_counts,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
 ORACLE = {
@@ -20,4 +21,5 @@ ORACLE = {
     "op2_vafile": vafile.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
