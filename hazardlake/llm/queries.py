@@ -1,6 +1,7 @@
 """Registered queries of this subpackage and their SQL for DuckDB."""
 
-from . import line_dedup, mixing, near_dup, pieces, prefix_trie, substring_dedup, syncmers, token_scan, toxicity, vafile, warc
+from . import (license_scan, line_dedup, mixing, near_dup, pieces, prefix_trie, substring_dedup, syncmers, token_alignment, token_scan,
+               toxicity, vafile, warc)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +15,8 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_token_counts": token_scan.op10_token_counts,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_license_scan": license_scan.op12_license_scan,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLE = {
