@@ -24,7 +24,7 @@ MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a slice of texts, first tokens between two starts of walks, longest probe, and
 #: links of a group above which its repeated ids are counted before they are paired.
-SLICE, STRIDE, PROBE, MANY = 4 << 20, 128, 64, 1024
+SLICE, STRIDE, PROBE, MANY = 1 << 20, 128, 64, 1024
 #: Characters from which a text is given to the second model in parts.
 LONG = 1 << 20
 #: Fixed value: how the byte-level model cuts a text before it merges.
