@@ -268,36 +268,19 @@ def encoded_slices(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
 
 
-def _score(batches):
-    """Counts of a slice's pairs, which come first and in order, applied to its documents."""
-    now, counts, best, whole = None, [], [], None
-    names = [c.split()[0] for c in _FOUND.split(", ")]
-    for b in batches:
-        slice_ids = b.column(0).to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], slice_ids[1:] != slice_ids[:-1]]))[:b.num_rows]
-        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows]):
-            if slice_ids[i] != now:
-                now, counts, best, whole = slice_ids[i], [], [], None
-            rows = b.slice(i, j - i)
-            place = rows.column(1)
-            n = len(place) - place.null_count
-            if n:
-                counts.append(rows.column(2).slice(0, n).to_numpy())
-                best.append(rows.column(3).slice(0, n).to_numpy(zero_copy_only=False))
-            docs = rows.slice(n)
-            if not docs.num_rows:
-                continue
-            if whole is None:
-                whole = (np.concatenate(counts), np.concatenate(best)) if counts else (np.zeros(0, np.int64), np.zeros(0, bool))
-            lists, times = docs.column(9), docs.column(10)
-            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            at, t = lists.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            n_best = np.zeros(len(size), np.int64)
-            np.add.at(n_best, row, t * whole[1][at])
-            count_sum = np.zeros(len(size), np.int64)
-            np.add.at(count_sum, row, t * whole[0][at])
-            yield pa.RecordBatch.from_arrays([*docs.columns[4:9], pa.array(n_best), pa.array(count_sum), docs.column(11)], names=names)
+def _score(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Counts of a slice's pairs applied to its documents."""
+    order = np.argsort(pairs.column("place").to_numpy())
+    n, best = (pairs.column(c).to_numpy()[order] for c in ("n", "best"))
+    docs = docs.combine_chunks()
+    lists = docs.column("pair").combine_chunks()
+    at, times = lists.flatten().to_numpy(), docs.column("times").combine_chunks().flatten().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    n_best, count_sum = np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64)
+    np.add.at(n_best, row, times * best[at])
+    np.add.at(count_sum, row, times * n[at])
+    return pa.table([*(docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), pa.array(n_best), pa.array(count_sum),
+                     docs.column("groups_sha256")], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def align(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B) -> DataFrame:
@@ -316,14 +299,9 @@ def align(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B) -> Da
     counts = stored(listed.groupBy("a", "b").agg(F.sum("docs").alias("n")))
     top = counts.groupBy("a").agg(F.max("n").alias("most"))
     judged = counts.join(top, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
-    null = lambda kind: F.lit(None).cast(kind)
-    kept = [f.strip().split() for f in _ENCODED.split(", ")][1:9]
-    pairs = listed.join(judged, ["a", "b"]).select("slice", "place", "n", "best", *(null(k).alias(c) for c, k in kept))
-    rows = encoded.where(F.col("a").isNull()).select(
-        "slice", null("int").alias("place"), null("long").alias("n"), null("boolean").alias("best"), *(c for c, _ in kept))
-    order = ["slice", "place", "n", "best", "doc_id", "n_a", "n_b", "n_groups", "n_links", "pair", "times", "groups_sha256"]
-    return (pairs.unionByName(rows).select(*order).repartition("slice").sortWithinPartitions("slice", F.col("place").asc_nulls_last())
-            .mapInArrow(_score, _FOUND))
+    pairs = listed.join(judged, ["a", "b"]).select(F.col("slice").alias("of"), "place", "n", "best")
+    rows = encoded.where(F.col("a").isNull()).select("slice", *(c.split()[0] for c in _ENCODED.split(", ")[1:9]))
+    return rows.groupBy("slice").cogroup(pairs.groupBy("of")).applyInArrow(_score, _FOUND)
 
 
 def op13_token_alignment(spark, sf_dir) -> DataFrame:
