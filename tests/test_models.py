@@ -61,19 +61,58 @@ def test_autoencoder_learns(spark):
     x = rng.normal(size=(80, 2)) @ rng.normal(size=(2, 6))
     df = frame(spark, x, target=x.tolist())
     few, many = R.dae_fit(df, 3, "tanh", epochs=2), R.dae_fit(df, 3, "tanh", epochs=60, learning_rate=0.05)
-    assert many["a"]["loss"][1] < 0.6 * few["a"]["loss"][1]
+    assert R.dae_weights(many, "a")["loss"][1] < 0.6 * R.dae_weights(few, "a")["loss"][1]
     code = R.dae_encode(df, many).first().features
     assert len(code) == 3 and max(map(abs, code)) <= 1
     mse = R.dae_loss(df, many).first().mse
-    m = many["a"]
+    m = R.dae_weights(many, "a")
     rebuilt = np.tanh(x @ m["w1"] + m["b1"]) @ m["w2"] + m["b2"]
     assert mse == pytest.approx(((rebuilt - x) ** 2).mean())
 
 
-def test_autoencoder_weight_limit(spark, monkeypatch):
-    monkeypatch.setattr(R, "WEIGHT_LIMIT", 10)
-    with pytest.raises(ValueError):
-        R.dae_fit(frame(spark, block(), target=block().tolist()), 3)
+def test_autoencoder_in_shards(spark, monkeypatch):
+    """Averaged shards reach the held-out loss of one task within 5 %; weights in several segments."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 3)) @ rng.normal(size=(3, 12)) + 0.1 * rng.normal(size=(600, 12))
+    df = frame(spark, x + 0.3 * rng.normal(size=x.shape), target=x.tolist())
+    options = dict(k=5, activation="tanh", epochs=25, learning_rate=0.01, min_delta=0.0)
+    one = R.dae_weights(R.dae_fit(df, **options), "a")["loss"][1]
+    monkeypatch.setattr(R, "SHARD_BYTES", 600 * 12 * 16 // 3)
+    monkeypatch.setattr(R, "SEGMENT", 50)
+    monkeypatch.setattr(R, "FAN", 2)
+    fit = R.dae_fit(df, **options)
+    assert fit.count() > 1
+    assert R.dae_weights(fit, "a")["loss"][1] < 1.05 * one
+    code = R.dae_encode(df, fit).toPandas()
+    m = R.dae_weights(fit, "a")
+    got = {s: c for s, c in zip(code.sample_id, code.features)}
+    rows = df.toPandas()
+    for s, f in zip(rows.sample_id[:20], rows.features[:20]):
+        np.testing.assert_allclose(got[s], np.tanh(np.array(f) @ m["w1"] + m["b1"]), atol=1e-9)
+
+
+def test_autoencoder_equals_a_plain_loop(spark):
+    """One shard is mini-batch Adam as a plain loop over the same batches has it."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 4))
+    df = frame(spark, x, target=x.tolist())
+    got = R.dae_weights(R.dae_fit(df, 2, "tanh", epochs=3, validation=0.0, min_delta=-1e9, batch=8), "a")
+    order = df.toPandas().sort_values("sample_id")
+    x = np.stack(order.features)
+    t = R._Trainer("a", 4, 2, "tanh", 0.001, 8, 5)
+    w = {k: v.copy() for k, v in R._unpack(t.start(), 4, 2).items()}
+    m, v, step = {k: 0 * a for k, a in w.items()}, {k: 0 * a for k, a in w.items()}, 0
+    for number in range(3):
+        perm = R._seed("batches", 5, "a", 0, number).permutation(50)
+        for i in range(0, 50, 8):
+            _, g = R.dae_loss_gradient(w, x[perm[i:i + 8]], x[perm[i:i + 8]], "tanh")
+            step += 1
+            for k in w:
+                d = g[k] / (len(perm[i:i + 8]) * 4)
+                m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
+                w[k] = w[k] - 0.001 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-7)
+    for k in w:
+        np.testing.assert_allclose(got[k], w[k], atol=1e-10)
 
 
 def test_kmeans_and_best_k(spark):
