@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hazardlake.operators import coxnet
+from hazardlake.operators import coxnet, coxpath
 from hazardlake.operators import survival as V
 from hazardlake.operators.blocks import ModelRows
 
@@ -144,6 +144,56 @@ def test_elastic_net_is_optimal(spark):
     assert kkt(x[:, [0, 3, 4]], t, e, some[[0, 3, 4]], fit["some"]["lambda"][11], 0.5) < 1e-5
 
 
+def test_paths_in_tasks_are_optimal_at_the_size_of_the_study():
+    """Optimality at 732 rows and 171 features, for the whole data and for a fold with its own weights."""
+    rng = np.random.default_rng(4)
+    n, p = 732, 171
+    x = rng.normal(size=(n, p))
+    t = np.ceil(rng.exponential(np.exp(-x[:, :5].sum(1) / 2)) * 300)
+    e = (rng.random(n) < 0.4).astype(int)
+    risk = coxpath.Risk(x, t, e)
+    keep = np.ones((n, 2))
+    keep[rng.random(n) < 0.1, 1] = 0
+    lambdas = np.tile(0.2 * np.logspace(0, -2, 25), (2, 1))
+    uses = [np.arange(p), np.arange(0, p, 3)]
+    beta, ok = coxpath.solve_path(risk, uses, keep, lambdas, 0.5)
+    assert ok.all() and not beta[1][:, 1::3].any()
+    for l in (0, 8, 24):
+        assert kkt(x, t, e, beta[0, l], lambdas[0, l], 0.5) < 1e-6
+        inside = keep[:, 1] > 0
+        z, tt, ee, b = risk.z[inside][:, uses[1]], risk.time[inside], risk.event[inside], beta[1, l][uses[1]]
+        w = np.exp(z @ b)
+        g = sum(z[i] - (z[tt >= tt[i]] * w[tt >= tt[i], None]).sum(0) / w[tt >= tt[i]].sum() for i in np.flatnonzero(ee == 1))
+        g = g / inside.sum() - lambdas[1, l] * 0.5 * b
+        cut = lambdas[1, l] * 0.5
+        assert max(np.abs(g[b != 0] - cut * np.sign(b[b != 0])).max(initial=0), (np.abs(g[b == 0]) - cut).max(initial=0)) < 1e-6
+
+
+def test_both_routes_end_at_the_same_optimum(spark, monkeypatch):
+    _, df = vectors(spark)
+    found = []
+    for limit in (coxnet.TASK_BYTES, 10):
+        monkeypatch.setattr(coxnet, "TASK_BYTES", limit)
+        coefs, cv = coxnet.cox_elastic_net(df, {"all": range(8), "some": [0, 3, 4]}, nlambda=10, nfolds=3)
+        found.append((coefs.where("lambda_at = 'min'").orderBy("mask", "pos").toPandas(), cv.orderBy("mask", "idx").toPandas()))
+    (a, b), (c, d) = found
+    np.testing.assert_allclose(b["lambda"], d["lambda"], rtol=1e-9)
+    np.testing.assert_allclose(b.cvm, d.cvm, atol=5e-3)
+    if (b.loc[b.groupby("mask").cvm.idxmax()].idx.values == d.loc[d.groupby("mask").cvm.idxmax()].idx.values).all():
+        np.testing.assert_allclose(a.coef, c.coef, atol=2e-3)
+
+
+def test_concordance_of_columns_counts_all_pairs():
+    rng = np.random.default_rng(0)
+    for m in (1, 2, 17, 90):
+        t, e, s = rng.integers(1, 9, m), rng.integers(0, 2, m), rng.integers(0, 6, (m, 4)).astype(float)
+        i, j = np.nonzero((e[:, None] == 1) & ((t[:, None] < t) | ((t[:, None] == t) & (e == 0))))
+        got = coxpath.concordance_columns(t, e, s)
+        for c in range(4):
+            want = np.mean((s[i, c] > s[j, c]) + 0.5 * (s[i, c] == s[j, c])) if len(i) else np.nan
+            assert got[c] == pytest.approx(want, nan_ok=True)
+
+
 def test_elastic_net_finds_the_signal(spark):
     pdf, df = vectors(spark)
     coefs, cv = coxnet.cox_elastic_net(df, nlambda=15, nfolds=4)
