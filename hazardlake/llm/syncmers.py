@@ -7,6 +7,7 @@ can be matched by hash and compared by position.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 
@@ -18,8 +19,8 @@ from pyspark.sql import types as T
 
 from .common import mix64, slices, table, texts_in
 
-#: Characters of a k-mer and of an inner s-mer, and anchors that a fingerprint keeps.
-K, S, KEPT = 24, 8, 64
+#: Characters of a k-mer and of an inner s-mer.
+K, S = 24, 8
 SLICE = 1 << 20
 _ANCHOR = np.dtype([("hash", ">u4"), ("place", ">u4")])
 _MULTS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -59,7 +60,7 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """Of each text the ``KEPT`` anchors of least hash, each hash once, in order of place.
+    """All anchors of each text, each hash once at its first place, in order of place.
 
     A text without anchors, as all shorter than a k-mer are, has one anchor for all its characters.
     """
@@ -69,9 +70,6 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     row, place, high = row[order], place[order], high[order]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (high[1:] != high[:-1])])[:len(row)]
     row, place, high = row[new], place[new], high[new]
-    begin = np.searchsorted(row, np.arange(len(texts) + 1))
-    kept = np.arange(len(row)) - begin[row] < KEPT
-    row, place, high = row[kept], place[kept], high[kept]
     order = np.lexsort((place, row))
     row, place, high = row[order], place[order], high[order]
     both = np.empty(len(row), _ANCHOR)
@@ -88,30 +86,27 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 
 
 def to_string(fingerprint: np.ndarray) -> str:
-    return fingerprint.tobytes().hex()
+    return base64.b64encode(fingerprint.tobytes()).decode()
 
 
 def from_string(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), _ANCHOR)
+    return np.frombuffer(base64.b64decode(text), _ANCHOR)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of anchors in common, in the same order, among the least of both texts (0 to 1).
-
-    If a fingerprint is full, only hashes count that both texts would have kept.
-    """
+    """Share of the anchors of both texts that they have in common, in the same order (0 to 1)."""
     ha, hb = a["hash"].astype(np.int64), b["hash"].astype(np.int64)
-    union = np.sort(np.concatenate([ha, hb]))
-    union = union[np.concatenate([[True], union[1:] != union[:-1]])]
-    if max(len(ha), len(hb)) >= KEPT:
-        union = union[:KEPT]
-    places = dict(zip(hb.tolist(), b["place"].tolist()))
-    last, tails = int(union[-1]), []
-    for h in ha.tolist():  # in order of place; the longest rising run of places in the other text
-        if h <= last and (p := places.get(h)) is not None:
-            i = bisect_left(tails, p)
-            tails[i:i + 1] = [p]
-    return len(tails) / len(union)
+    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    places = b["place"].astype(np.int64)[j][np.argsort(i)]
+    if (np.diff(places) > 0).all():
+        run = len(places)
+    else:  # the longest rising run of places in the other text
+        tails: list[int] = []
+        for p in places.tolist():
+            k = bisect_left(tails, p)
+            tails[k:k + 1] = [p]
+        run = len(tails)
+    return run / (len(ha) + len(hb) - len(i))
 
 
 def fingerprint(docs: DataFrame, to: str = "fingerprint") -> DataFrame:

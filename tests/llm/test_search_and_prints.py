@@ -1,6 +1,7 @@
 """Vector search and fingerprints against brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -115,6 +116,49 @@ def test_likeness():
     assert (syncmers.from_string(syncmers.to_string(one)) == one).all()
 
 
+def test_vectors_of_unequal_lengths(spark):
+    """Those of another length than most take no part, empty ones neither."""
+    rows = [(i, [float(i % 7), 0.5 * i]) for i in range(60)] + [(100, []), (150, [1.0]), (200, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = vafile.scaled(df)
+    got = {tuple(r) for r in vafile.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()}
+    assert got == best({i: np.floor(256 * np.array(v)).astype(int) for i, v in rows[:60]}, 5)
+
+
+def plain_anchors(text):
+    """All closed syncmers by their definition: {k-mer: first place}."""
+    s = syncmers._smers(np.array([ord(c) for c in text], np.uint32)).tolist() if len(text) >= syncmers.S else []
+    found = {}
+    for i in range(len(text) - syncmers.K + 1):
+        inner = s[i:i + syncmers.K - syncmers.S + 1]
+        if min(inner) in (inner[0], inner[-1]):
+            found.setdefault(text[i:i + syncmers.K], i)
+    return found
+
+
+def test_likeness_uses_all_anchors():
+    """Against all anchors by their text and a quadratic search for the longest common order; one word counts in a long text."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    for n in (0, 3, 40, 400, 1500):
+        a = [rng.choice(words) for _ in range(n)]
+        b = a[:n // 2] + [rng.choice(words) for _ in range(n // 5)] + a[2 * n // 3:] + a[:n // 10]
+        a, b = " ".join(a), " ".join(b)
+        x, y = plain_anchors(a), plain_anchors(b)
+        common = [y[k] for k in sorted(x, key=x.get) if k in y]
+        best = []
+        for i, p in enumerate(common):
+            best.append(1 + max((best[j] for j in range(i) if common[j] < p), default=0))
+        got = syncmers.fingerprints([a, b])
+        if x and y:
+            assert [len(f) for f in got] == [len(x), len(y)]
+            assert syncmers.likeness(*got) == max(best, default=0) / len(set(x) | set(y))
+    long = " ".join(rng.choice(words) for _ in range(3000))
+    changed = long[:9000] + "zzzzzzzzzz" + long[9000:]
+    one, two = syncmers.fingerprints([long, changed])
+    assert set(one["hash"]) != set(two["hash"]) and 0.98 < syncmers.likeness(one, two) < 1
+
+
 def test_fingerprint_column(odd_docs, no_docs):
     rows = syncmers.fingerprint(odd_docs, "score").collect()
     assert all(r.score == syncmers.to_string(syncmers.fingerprints([r.text or ""])[0]) for r in rows)
