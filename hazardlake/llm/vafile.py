@@ -23,9 +23,15 @@ NOBODY = np.iinfo(np.int64).max
 
 
 def scaled(embeddings: DataFrame, factor: int = 256) -> DataFrame:
-    """(vec_id, v): components as floor(factor * x), of vectors whose components are all finite."""
+    """(vec_id, v): components as floor(factor * x), of vectors whose components are all finite.
+
+    Only vectors of the most frequent length take part, of equally frequent ones the longest; empty
+    ones never do.
+    """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
+    sound = embeddings.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad)
+    usual = sound.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    return (sound.where(F.size("embedding") == (usual.dims if usual else 0))
             .select(F.col("vec_id").cast("long"),
                     F.transform("embedding", lambda x: F.floor(F.lit(factor) * x.cast("double")).cast("long")).alias("v")))
 
