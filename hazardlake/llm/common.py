@@ -36,6 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that are columns of ``docs`` already."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def word_count(text):
     """Words of a text as a column; NULL and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), GAP)

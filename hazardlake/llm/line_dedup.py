@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER
+from .common import LOWER, SPACE, UPPER, fresh
 
 
 def line_key(line):
@@ -37,18 +37,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     frequent = (lines.groupBy("_h1", "_h2")
                 .agg(F.count_distinct("doc_id").alias("_n"), F.max("doc_id").alias("_last"))
                 .where(F.col("_n") >= min_docs))
+    version, whole_lines, gone = fresh(docs, "_version", "_lines", "_dropped")
     dropped = (lines.join(frequent, ["_h1", "_h2"]).where(F.col("doc_id") < F.col("_last"))
-               .groupBy("doc_id", "_version").agg(F.collect_set("_pos").alias("_dropped")))
+               .groupBy("doc_id", F.col("_version").alias(version)).agg(F.collect_set("_pos").alias(gone)))
     passed = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    whole = docs.select(*passed, F.xxhash64("text").alias("_version"),
-                        F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
-    found = whole.drop("text").join(dropped, ["doc_id", "_version"], "left")
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    kept = F.transform(F.array_except(every, "_dropped"), lambda p: F.get("_lines", p))
-    text = F.array_join(F.when(F.col("_dropped").isNull(), F.col("_lines")).otherwise(kept), "\n")
+    whole = docs.select(*passed, F.xxhash64("text").alias(version),
+                        F.split(F.coalesce("text", F.lit("")), "\n").alias(whole_lines))
+    found = whole.drop("text").join(dropped, ["doc_id", version], "left")
+    every = F.sequence(F.lit(0), F.size(whole_lines) - 1)
+    kept = F.transform(F.array_except(every, gone), lambda p: F.get(whole_lines, p))
+    text = F.array_join(F.when(F.col(gone).isNull(), F.col(whole_lines)).otherwise(kept), "\n")
     return found.select(*[text.alias("text") if c == "text" else F.col(c) for c in passed],
-                        F.size("_lines").cast("long").alias("n_lines"),
-                        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+                        F.size(whole_lines).cast("long").alias("n_lines"),
+                        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark, sf_dir) -> DataFrame:

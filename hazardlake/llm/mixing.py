@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, word_count
+from .common import fresh, stored, table, word_count
 
 WEIGHTS = (5, 2, 1)
 REPEAT = 3
@@ -128,16 +128,15 @@ def mixed(docs: DataFrame, weights=WEIGHTS, repeat: int = REPEAT, seed: int = 8)
 
     Rows that agree in doc_id, source and size share their copies evenly.
     """
-    key = ["_doc_id", "_source", "_size"]
+    *key, words, each_time, alike, n, copy = fresh(docs, "_doc_id", "_source", "_size", "_words", "_times", "_rows", "_n", "_copy")
     times = (mix(docs, weights, repeat, seed).groupBy("doc_id", "source", "size")
-             .agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")).withColumnsRenamed(dict(zip(("doc_id", "source", "size"), key))))
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    same = (sized["doc_id"].eqNullSafe(times["_doc_id"]) & sized["source"].eqNullSafe(times["_source"])
-            & (sized["_words"] == times["_size"]))
+             .agg(F.sum("times").alias(each_time), F.count(F.lit(1)).alias(alike)).withColumnsRenamed(dict(zip(("doc_id", "source", "size"), key))))
+    sized = docs.withColumn(words, word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(times[key[0]]) & sized["source"].eqNullSafe(times[key[1]]) & (sized[words] == times[key[2]])
     place = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
-    each = F.floor(F.col("_times") / F.col("_rows")) + (place <= F.col("_times") % F.col("_rows")).cast("int")
-    rows = sized.join(times, same).withColumn("_n", each.cast("int")).where(F.col("_n") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    each = F.floor(F.col(each_time) / F.col(alike)) + (place <= F.col(each_time) % F.col(alike)).cast("int")
+    rows = sized.join(times, same).withColumn(n, each.cast("int")).where(F.col(n) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir) -> DataFrame:

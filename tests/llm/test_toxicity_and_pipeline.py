@@ -113,6 +113,30 @@ def test_one_of_near_copies_stays(spark, table):
     assert Counter(r.text for r in got if r.doc_id is None or not worded(r)) == Counter(r.text for r in rows if r.doc_id is None or not worded(r))
 
 
+def test_texts_of_one_doc_id_are_not_lost(spark):
+    """Rows (1, A), (1, B), (2, B and a word), (2, A): one of A and one of the Bs stay, others are copies."""
+    rng = random.Random(1)
+    a, b = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(2))
+    rows = [(1, a, "x"), (1, b, "y"), (2, b + " word", "z"), (2, a, "u"), (3, a, "v"), (3, a, "v"), (None, a, "n"), (4, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, df, None).collect()
+    texts = Counter(r.text for r in got if r.doc_id is not None)
+    assert texts[a] == 1 and texts[b] + texts[b + " word"] == 1 and texts[None] == 1 and len(got) == 4
+
+
+def test_clashing_columns(spark):
+    """Columns named like the stages' own pass through."""
+    line = "This line is often found in documents"
+    rows = [(i, f"{line}\nown {i}", "s", i, i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _version int, _lines int, _dropped int")
+    got = {tuple(r) for r in corpus_pipeline.drop_repeated_lines(spark, df, None).collect()}
+    assert got == {(i, f"own {i}" if i < 3 else f"{line}\nown {i}", "s", i, i, i) for i in range(4)}
+    names = ["_words", "_n", "_copy", "_rows", "_times", "_doc_id"]
+    df = spark.createDataFrame([(i, "one two", "s", *[7 + i] * 6) for i in range(3)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = corpus_pipeline.mix_sources(spark, df, None)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in df.collect()}
+
+
 def test_stages_follow_each_other(spark):
     import sentencepiece
     docs = spark.read.parquet(f"{SF}/documents.parquet")
