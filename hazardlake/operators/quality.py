@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlake.operators.clean import top_n
-from hazardlake.operators.layout import select_features
+from hazardlake.operators.layout import null_safe_join, select_features
+from hazardlake.sources.tables import cut_lineage
 
 
 def filter_zero_fraction(long: DataFrame, n_samples, cut: float = 0.2,
@@ -72,45 +73,58 @@ def zscore(long: DataFrame, by=("modality",), reference=None) -> DataFrame:
             .select(*long.columns))
 
 
+PROBES = tuple(i / 64 for i in range(1, 64))   # cuts that a round lays into every bracket
+FITS = 100_000                                # rows of a bracket that are ranked
+
+
 def group_quantile(df: DataFrame, keys, value: str, q: float = 0.5, alias: str = "median",
-                   accuracy: int = 1000) -> DataFrame:
+                   probes=PROBES, fits: int = FITS) -> DataFrame:
     """Exact interpolated quantile per group without gathering any group.
 
-    A mergeable sketch brackets the target rank within 2 / accuracy of the rows; only the values
-    inside the bracket are then counted and ranked. Groups of at most ``accuracy`` rows are
-    counted whole; for groups of a billion rows and more raise it. A bracket that misses the
-    target raises an error.
+    All groups keep a bracket (lo, hi] of values that holds the wanted ranks. In a round a mergeable
+    sketch proposes cuts inside the bracket, the rows between cuts are counted exactly, and the
+    bracket shrinks to the parts with the wanted ranks. Rounds end when every bracket has at most
+    ``fits`` rows or one value, or when a round takes less than a tenth off; the distinct values inside are
+    then counted and ranked. Cuts only decide how fast that is, not what is found.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    probes = [max(q - 2.0 / accuracy, 0.0), min(q + 2.0 / accuracy, 1.0)]
-    bracket = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", probes, accuracy).alias("_b"), F.count("*").alias("_n"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    small = F.col("_n") <= accuracy
-    bracket = bracket.select(*keys, "_n",
-                             F.when(small, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-                             F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"))
-    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-    counted = (rows.join(bracket, keys).where(F.col("_v") <= F.col("_hi"))
-               .groupBy(*keys, "_n", inside.alias("_x")).agg(F.count("*").alias("_c")))
-    running = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_first())
-                               .rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     at = (F.col("_n") - 1) * F.lit(float(q))
+    bracket = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_hi")).select(
+        *keys, "_n", (F.floor(at) + 1).alias("_a"), (F.ceil(at) + 1).alias("_z"), F.lit(None).cast("double").alias("_lo"), "_hi",
+        F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside"), (F.col("_least") < F.col("_hi")).alias("_open")))
+    inner = F.coalesce(F.col("_v") > F.col("_lo"), F.lit(True)) & (F.col("_v") <= F.col("_hi"))
+    while True:
+        wide = bracket.where(F.col("_open") & (F.col("_inside") > fits))
+        if wide.isEmpty():
+            break
+        inside = null_safe_join(rows, wide, keys).where(inner)
+        cuts = inside.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", list(probes), 1000)).alias("_cuts"))
+        part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        counts = null_safe_join(inside, cuts, keys).groupBy(*keys, part.alias("_part")).agg(
+            F.count("*").alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom"))
+        known = null_safe_join(counts, wide, keys)
+        order = Window.partitionBy(*keys).orderBy("_part")
+        upto = F.col("_below") + F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        known = known.withColumn("_upto", upto).withColumn("_before", F.lag("_top").over(order))
+        wanted = known.where((F.col("_upto") >= F.col("_a")) & (F.col("_upto") - F.col("_c") < F.col("_z")))
+        first = F.min(F.struct("_part", F.coalesce("_before", "_lo").alias("lo"), (F.col("_upto") - F.col("_c")).alias("below")))
+        found = wanted.groupBy(*keys).agg(first.alias("_f"), F.max("_top").alias("_t"), F.min("_bottom").alias("_s"), F.sum("_c").alias("_m"))
+        shrunk = null_safe_join(wide, found, keys).select(
+            *keys, "_n", "_a", "_z", F.col("_f.lo").alias("_lo"), F.col("_t").alias("_hi"), F.col("_f.below").alias("_below"),
+            F.col("_m").alias("_inside"), ((F.col("_s") < F.col("_t")) & (F.col("_m") < 0.9 * F.col("_inside"))).alias("_open"))
+        bracket = cut_lineage(bracket.where(~(F.col("_open") & (F.col("_inside") > fits))).unionByName(shrunk))
+    counted = null_safe_join(rows, bracket, keys).where(inner).groupBy(*keys, "_n", "_a", "_z", "_below", "_v").agg(F.count("*").alias("_c"))
+    running = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     picked = counted.withColumn("_cum", running).groupBy(*keys).agg(
-        F.min(F.when(F.col("_cum") >= F.floor(at) + 1, F.struct("_x"))).alias("_a"),
-        F.min(F.when(F.col("_cum") >= F.ceil(at) + 1, F.struct("_x"))).alias("_z"),
-        F.max(at - F.floor(at)).alias("_f"))
-    lo, hi = F.col("_a._x"), F.col("_z._x")
-    found = lo.isNotNull() & hi.isNotNull()
-    exact = F.when(found, lo + F.col("_f") * (hi - lo)).otherwise(
-        F.raise_error(F.lit("quantile bracket missed its rank: raise accuracy")))
-    return picked.select(*keys, exact.alias(alias))
+        F.min(F.when(F.col("_cum") >= F.col("_a"), F.col("_v"))).alias("_low"),
+        F.min(F.when(F.col("_cum") >= F.col("_z"), F.col("_v"))).alias("_high"), F.max(at - F.floor(at)).alias("_f"))
+    return picked.select(*keys, (F.col("_low") + F.col("_f") * (F.col("_high") - F.col("_low"))).alias(alias))
 
 
-def impute_median(long: DataFrame, by=("modality",), accuracy: int = 1000) -> DataFrame:
+def impute_median(long: DataFrame, by=("modality",)) -> DataFrame:
     """NULL becomes the exact median of its feature and group."""
     keys = [*by, "feature_id"]
-    med = group_quantile(long, keys, "value", alias="_med", accuracy=accuracy)
+    med = group_quantile(long, keys, "value", alias="_med")
     return (long.join(med, keys, "left")
             .withColumn("value", F.coalesce("value", "_med")).select(*long.columns))

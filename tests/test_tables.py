@@ -68,6 +68,18 @@ def test_split_and_strip(spark):
     assert [(r.p, r.g) for r in got] == [("f_g", "A"), ("", "A")]
 
 
+@pytest.mark.parametrize("probes", [Q.PROBES, (0.0, 1.0), (0.9, 0.99)])
+def test_quantiles_in_rounds_do_not_depend_on_the_sketch(spark, probes):
+    """Cuts that never help, ties, one value, a NULL group: brackets of at most 40 rows, several rounds."""
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=700), "b": rng.integers(0, 4, 500) * 1.0, "c": np.zeros(90), None: np.append(np.full(300, 2.0), 5.0),
+              "e": np.array([1.0, 9.0]), "f": np.exp(rng.normal(size=400) * 9)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("z", None)], "g string, v double")
+    for q in (0.73,):
+        got = {r.g: r.x for r in Q.group_quantile(df, ["g"], "v", q, "x", probes, 40).collect()}
+        assert got == {g: pytest.approx(np.quantile(vs, q), rel=1e-12) for g, vs in groups.items()}
+
+
 @pytest.mark.parametrize("q,n", [(0.5, 7), (0.5, 10_001), (0.25, 4000), (0.9, 333)])
 def test_group_quantile_is_exact(spark, q, n):
     rng = np.random.default_rng(n)
