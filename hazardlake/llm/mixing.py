@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,25 +14,43 @@ from .common import fresh, stored, table, word_count
 WEIGHTS = (5, 2, 1)
 REPEAT = 3
 BUCKETS = 4096
+#: Words of a budget that the dynamic programming may be left with; its table has a number for each.
+TABLE = 1 << 26
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their lengths sum to ``budget``.
-
-    Every length first gives its share; what is left after rounding is filled from the longest
-    lengths down to a remainder of two documents' size, which bounded-knapsack dynamic
-    programming over the lengths still there then meets exactly, or comes nearest below.
+    """How many documents of each length to take, so that their lengths sum to ``budget``, or come nearest below.
+
+    Every length first gives its share of most of the budget; bounded-knapsack dynamic programming
+    over the documents left meets the rest. While it misses the rest, four times as much of the
+    budget is left to it, in the end all: so the sum is the best of all choices of counts. Lengths
+    are divided by their greatest common divisor, so a miss by parity alone costs nothing. Where
+    nothing meets ``TABLE`` words left to it, which takes a source with hardly any lengths, the
+    nearest sum within these stands.
     """
     lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
+    unit = math.gcd(*lengths) or 1
+    lengths, budget = [x // unit for x in lengths], max(0, budget) // unit
     total = sum(x * n for x, n in zip(lengths, counts))
-    take = [n * budget // total if total and x else 0 for x, n in zip(lengths, counts)]
-    rest = budget - sum(x * n for x, n in zip(lengths, take))
+    if budget >= total:
+        return np.array([n if x else 0 for x, n in zip(lengths, counts)], np.int64)
     spare = 2 * max(lengths, default=0)
-    order = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: -lengths[i])
-    for i in order:
-        n = min(counts[i] - take[i], max(0, rest - spare) // lengths[i])
-        take[i], rest = take[i] + n, rest - n * lengths[i]
-    rest = max(0, rest)
+    while True:
+        take = [n * max(0, budget - spare) // total if x else 0 for x, n in zip(lengths, counts)]
+        rest = budget - sum(x * n for x, n in zip(lengths, take))
+        order = sorted((i for i, x in enumerate(lengths) if x), key=lambda i: -lengths[i])
+        for i in order:
+            n = min(counts[i] - take[i], max(0, rest - spare) // lengths[i])
+            take[i], rest = take[i] + n, rest - n * lengths[i]
+        free = not any(take)
+        missed = _fill(lengths, counts, take, order, rest)
+        if not missed or free or 4 * spare > TABLE:
+            return np.array(take, np.int64)
+        spare *= 4
+
+
+def _fill(lengths: list[int], counts: list[int], take: list[int], order: list[int], rest: int) -> int:
+    """Add to ``take`` the documents left whose lengths come nearest below ``rest``; what is missed."""
     mask, reach = (1 << (rest + 1)) - 1, 1
     first = np.full(rest + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
@@ -45,11 +65,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 items.append((i, n))
                 reach |= new
             left, part = (0 if n < min(part, left) else left - n), part * 2
-    at = reach.bit_length() - 1
+    at = best = reach.bit_length() - 1
     while at:
         i, n = items[first[at]]
         take[i], at = take[i] + n, at - n * lengths[i]
-    return np.array(take, np.int64)
+    return rest - best
 
 
 def source_targets(totals: DataFrame, weights=WEIGHTS, repeat: int = REPEAT) -> DataFrame:

@@ -152,10 +152,19 @@ def test_budget_is_met_where_it_can_be(hist, share):
     budget = round(share * int(lengths @ counts))
     take = mixing.fit_budget(lengths, counts, budget)
     assert (0 <= take).all() and (take <= counts).all()
-    got = int(take @ lengths)
-    assert budget - lengths.max() < got <= budget
-    if lengths[0] == 1 and counts[0] >= 8 and len(lengths) > 3:
-        assert budget - got <= lengths.max()
+    sums = {0}
+    for x, n in hist.items():
+        sums = {a + x * k for a in sums for k in range(n + 1)}
+    assert int(take @ lengths) == max(a for a in sums if a <= budget)
+
+
+def test_budget_that_a_proportional_start_misses():
+    lengths, counts = np.array([0, 23, 45, 48, 51, 54, 59]), np.array([3, 1, 8, 4, 1, 3, 2])
+    assert int(mixing.fit_budget(lengths, counts, 380) @ lengths) == 380
+    many = np.array([1000, 1001])
+    assert int(mixing.fit_budget(many, np.array([10 ** 8, 10 ** 8]), 75_400_037_711) @ many) == 75_400_037_711
+    assert mixing.fit_budget(np.array([], int), np.array([], int), 0).tolist() == []
+    assert mixing.fit_budget(np.array([0]), np.array([4]), 0).tolist() == [0]
 
 
 def test_archives_of_odd_pages(spark):
