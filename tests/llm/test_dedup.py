@@ -1,5 +1,6 @@
 """Substring dedup, line dedup, near duplicates and components against brute force."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -199,6 +200,55 @@ def test_prefix_length_meets_the_recall():
     assert 1 - (1 - 0.8 ** n) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (n + 1)) ** 16
 
 
+def test_least_agreement_meets_the_recall():
+    m = near_dup.least_agreement(0.8, 0.9995, 160)
+    tail = lambda m: sum(math.comb(160, c) * 0.8 ** c * 0.2 ** (160 - c) for c in range(m, 161))
+    assert tail(m) >= 0.9995 > tail(m + 1)
+
+
+def _signed(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return near_dup.signatures(df, 5, near_dup.TREES, near_dup.LABEL).withColumnRenamed("doc_id", "rep")
+
+
+def test_texts_of_a_template_do_not_chain(spark):
+    """600 texts with two thirds of their words in common, no pair of similarity 0.8: hardly a link."""
+    rnd = random.Random(8)
+    base = [f"t{k}" for k in range(120)]
+    texts = [" ".join([*base, *(f"w{rnd.randint(0, 10 ** 6)}" for _ in range(56))]) for _ in range(600)]
+    assert near_dup.candidate_links(_signed(spark, texts)).count() < 5
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_forest_finds_pairs_at_the_threshold(spark, monkeypatch, block):
+    """400 pairs of similarity 0.8 to 0.85, each of its own words: nearly all are linked, nothing else is."""
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", block)
+    rnd, texts, true = random.Random(9), [], set()
+    while len(true) < 400:
+        words = [f"p{len(texts)}x{k}" for k in range(200)]
+        other = [*words[:-(n := rnd.randint(16, 22))], *(f"q{len(texts)}x{k}" for k in range(n))]
+        both, n = 200 - n - 4, 196
+        if 0.8 <= both / (2 * n - both) <= 0.85:
+            true.add((len(texts), len(texts) + 1))
+            texts += [" ".join(words), " ".join(other)]
+    found = {(min(r), max(r)) for r in near_dup.candidate_links(_signed(spark, texts)).collect()}
+    assert found <= true and len(found) >= 0.99 * len(true)
+
+
+def test_links_of_a_sorted_trie():
+    """Every two rows of a prefix whose sketches agree are in one group, and no others."""
+    rng = np.random.default_rng(4)
+    labels = np.array(sorted(map(tuple, rng.integers(0, 2, (300, 4)).tolist())), ">u2")
+    sketch = rng.integers(0, 3, (300, 6)).astype(np.uint8)
+    block = np.arange(300) // 60
+    a, b = near_dup.forest_links(labels, sketch, block, 2, 5)
+    got = near_dup._roots(300, a, b)
+    pairs = [(i, j) for i in range(300) for j in range(i) if block[i] == block[j] and (labels[i, :2] == labels[j, :2]).all()
+             and (sketch[i] == sketch[j]).sum() >= 5]
+    want = near_dup._roots(300, *map(np.array, zip(*pairs)))
+    assert (got == want).all() and (np.bincount(want) > 2).any()
+
+
 def test_common_counts():
     rng = np.random.default_rng(0)
     sets = [set(rng.choice(60, rng.integers(1, 50), replace=False).tolist()) for _ in range(70)]
