@@ -59,6 +59,29 @@ roles AS (SELECT *, CASE WHEN cv = fold THEN 'test' ELSE 'train' END AS role
           FROM folds CROSS JOIN (SELECT unnest(range(1, 6)) AS cv))"""
 
 
+SPECIMENS = """
+specimens AS (
+  SELECT printf('CUST-%014d-%010d', c_custkey, o_orderkey) AS sample_id, c_name AS patient,
+         CASE WHEN o_orderpriority = '5-LOW' THEN 'NT' ELSE 'TP' END AS sample_type, c_mktsegment AS subtype, n_name AS stage,
+         ['TX', 'T1', 'T2', 'T3', 'T4'][o_orderkey % 5 + 1] AS t, ['NX', 'N0', 'N1'][o_orderkey % 3 + 1] AS n,
+         ['M0', 'MX', 'M1', 'M0'][o_orderkey % 4 + 1] AS m,
+         ['not reported', 'yes', 'no', 'no', 'no', 'yes', 'no'][o_orderkey % 7 + 1] AS prior_malignancy,
+         ['Not Reported', 'No'][o_orderkey % 2 + 1] AS synchronous_malignancy,
+         ['male', 'female', 'male', 'male', 'female', 'female'][o_orderkey % 6 + 1] AS gender,
+         CAST(c_custkey % 60 + 30 AS BIGINT) AS age_at_index,
+         CAST(nullif(o_orderkey % 11, 0) AS DOUBLE) AS pack_years_smoked, CAST(nullif(o_orderkey % 9, 0) AS DOUBLE) AS dim_short,
+         CAST(nullif(o_orderkey % 10, 0) AS DOUBLE) AS dim_mid, CAST(nullif(o_orderkey % 13, 0) AS DOUBLE) AS dim_long,
+         CASE WHEN o_orderstatus = 'F' THEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') END AS days_to_death,
+         CASE WHEN o_orderkey % 8 <> 3 THEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') + 1 END AS days_to_last_follow_up,
+         CASE o_orderstatus WHEN 'F' THEN 'Dead' WHEN 'O' THEN 'Alive' END AS vital_status
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+ELIGIBLE = """
+eligible AS (SELECT printf('CUST-%014d', c_custkey) AS sample_id,
+                    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'LUSC' ELSE 'LUAD' END AS subtype
+             FROM customer WHERE c_acctbal >= 0)"""
+
+
 def screen(source, keys):
     """Score test per feature: risk-set sums over days, features centred on their mean."""
     k = ", ".join(keys)
@@ -232,6 +255,41 @@ def oracles():
     SELECT sample_id, CAST(time AS BIGINT) AS time, subtype || ' - ' || CASE WHEN time > 1825 THEN 'Alive' ELSE 'Dead' END AS group_label
     FROM cohort WHERE time > 1825 OR (event = 1 AND time < 1825)"""
     q["volume_product"] = """SELECT p_partkey, round(CAST(p_size AS DOUBLE) * CAST(nullif(p_size % 7, 0) AS DOUBLE) * p_retailprice, 6) AS volume FROM part"""
+    rank = "CASE WHEN {0} IS NOT NULL THEN dense_rank() OVER (ORDER BY {0} NULLS LAST) END AS {0}"
+    coded = ("stage", "prior_malignancy", "n", "m", "t", "gender", "synchronous_malignancy", "subtype")
+    q["build_cohort"] = with_(SPECIMENS, ELIGIBLE) + f""",
+    known AS (SELECT * REPLACE (nullif(prior_malignancy, 'not reported') AS prior_malignancy,
+                                nullif(synchronous_malignancy, 'Not Reported') AS synchronous_malignancy, nullif(n, 'NX') AS n,
+                                nullif(m, 'MX') AS m, nullif(t, 'TX') AS t) FROM specimens),
+    codes AS (SELECT * REPLACE ({', '.join(rank.format(c) for c in coded)}) FROM known),
+    rows AS (SELECT c.sample_id AS specimen, e.sample_id, e.subtype, c.subtype AS subtype_code, patient, stage, t, n, m, prior_malignancy,
+                    synchronous_malignancy, gender, age_at_index, pack_years_smoked, dim_short * dim_mid * dim_long AS volume,
+                    coalesce(days_to_death, days_to_last_follow_up) AS time,
+                    CAST(CASE WHEN vital_status = 'Dead' THEN 1 WHEN vital_status IS NOT NULL THEN 0 END AS BIGINT) AS event
+             FROM codes c JOIN eligible e ON substr(c.sample_id, 1, 19) = e.sample_id WHERE sample_type = 'TP')
+    SELECT * FROM rows WHERE time > 1 QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY specimen) = 1"""
+    q["methylation_flow"] = with_(COHORT, ELIGIBLE) + """,
+    probes AS (
+      SELECT printf('CUST-%014d', o_custkey) AS sample_id, o_orderkey,
+             (CASE WHEN l_returnflag = 'R' THEN 'rs' ELSE 'cg' END) || '-' || l_linenumber || '-' || l_returnflag AS feature_id, l_linenumber AS line,
+             CASE WHEN o_orderkey % 9 <> 4 THEN avg(l_discount * 5 + l_tax) END AS value
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+    one AS (SELECT * FROM probes WHERE sample_id IN (SELECT sample_id FROM eligible)
+            QUALIFY row_number() OVER (PARTITION BY sample_id, feature_id ORDER BY o_orderkey) = 1),
+    plain AS (SELECT * FROM one WHERE feature_id NOT LIKE 'rs%'),
+    dense_ AS (SELECT * FROM plain WHERE feature_id IN (
+                 SELECT feature_id FROM plain GROUP BY feature_id
+                 HAVING (SELECT count(DISTINCT sample_id) FROM plain) - count(value) < 0.6 * (SELECT count(DISTINCT sample_id) FROM plain))),
+    full_ AS (SELECT * FROM dense_ WHERE sample_id IN (
+                SELECT sample_id FROM dense_ GROUP BY sample_id
+                HAVING (SELECT count(DISTINCT feature_id) FROM dense_) - count(value) < 0.6 * (SELECT count(DISTINCT feature_id) FROM dense_))),
+    island AS (SELECT * FROM full_ WHERE line <> 2),
+    best AS (SELECT feature_id FROM island GROUP BY feature_id ORDER BY var_samp(value) DESC NULLS LAST, feature_id LIMIT 8)
+    SELECT 'methylation' AS modality, sample_id, feature_id, round(value, 6) AS value FROM island
+    WHERE feature_id IN (SELECT feature_id FROM best)
+      AND sample_id IN (SELECT printf('CUST-%014d', CAST(sample_id AS BIGINT)) FROM cohort)"""
+    q["text_round_trip"] = with_(SPECIMENS) + " SELECT * FROM specimens"
+
     q["barcode_substring"] = "SELECT substr(c_name, 1, 15) AS barcode, count(*) AS n FROM customer GROUP BY 1"
     q["split_nth"] = r"""SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*/(.*)$', 1) AS part FROM pages"""
     q["regex_strip"] = "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS first FROM pages"

@@ -18,7 +18,7 @@ from hazardlake.plans import cohort as M
 from hazardlake.plans import experiment as P
 from hazardlake.plans import subtypes as B
 from hazardlake.sources import fixtures as X
-from hazardlake.sources.tables import cut_lineage
+from hazardlake.sources.tables import cut_lineage, finished_stage, read_csv, read_tsv, scratch_folder, write_results
 
 QUERIES = {}
 DIGITS = 6
@@ -162,6 +162,34 @@ def survival_time(spark, sf):
                     S.event_flag().cast("bigint").alias("event"))
 
 
+@query
+def build_cohort(spark, sf):
+    """Raw specimens to one analysed row per eligible sample."""
+    out = C.build_cohort(X.specimens(spark, sf), X.eligible(spark, sf))
+    return whole(out, "stage", "prior_malignancy", "n", "m", "t", "gender", "synchronous_malignancy", "subtype_code", "age_at_index", "time", "event")
+
+
+@query
+def methylation_flow(spark, sf):
+    """Raw probes to the methylation table of the cohort."""
+    cohort = X.cohort(spark, sf).withColumn("sample_id", X.barcode(F.col("sample_id").cast("bigint")))
+    out = M.methylation(X.probes(spark, sf), X.eligible(spark, sf), cohort, X.probe_annotation(spark, sf), cut=0.6, k=8)
+    return rounded(out, "value")
+
+
+@query
+def text_round_trip(spark, sf):
+    """Clinical rows written as CSV and TSV and as a finished stage, read back by a fixed schema."""
+    folder = scratch_folder(spark)
+    rows = X.specimens(spark, sf)
+    schema = rows.schema
+    write_results(rows, f"{folder}/csv")
+    write_results(read_csv(spark, f"{folder}/csv", schema), f"{folder}/tsv", "tsv")
+    inputs = [f"{sf}/{t}.parquet" for t in ("customer", "orders", "nation")]
+    out = finished_stage(spark, folder, "clinical", inputs, {"format": "tsv"}, lambda: read_tsv(spark, f"{folder}/tsv", schema))
+    return whole(out, "age_at_index", "days_to_death", "days_to_last_follow_up")
+
+
 @query
 def five_year_groups(spark, sf):
     g = C.five_year_groups(X.cohort(spark, sf), 1825)

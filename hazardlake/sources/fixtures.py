@@ -117,3 +117,60 @@ def count_groups(spark, sf_dir) -> DataFrame:
     return (s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
             .select(sample_id("s_suppkey"), F.when(F.col("n_regionkey") < 2, "BadPrognosis")
                     .otherwise("GoodPrognosis").alias("grp")))
+
+
+def barcode(custkey):
+    """19 characters that name a customer, as the first part of a specimen's barcode."""
+    return F.format_string("CUST-%014d", custkey)
+
+
+def specimens(spark, sf_dir) -> DataFrame:
+    """Raw clinical table: a specimen per order, named by customer and order, categories with sentinels.
+
+    The order's status is the vital status; days run from the order to the first day of 1999.
+    """
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    o = table(spark, sf_dir, "orders")
+    days = F.datediff(F.lit("1999-01-01").cast("date"), F.to_date("o_orderdate"))
+    pick = lambda k, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % k + 1).cast("int"))
+    number = lambda k: F.nullif(F.col("o_orderkey") % k, F.lit(0)).cast("double")
+    return (o.join(c, F.col("o_custkey") == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(
+        F.concat_ws("-", barcode("c_custkey"), F.format_string("%010d", "o_orderkey")).alias("sample_id"), F.col("c_name").alias("patient"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "NT").otherwise("TP").alias("sample_type"), F.col("c_mktsegment").alias("subtype"),
+        F.col("n_name").alias("stage"), pick(5, "TX", "T1", "T2", "T3", "T4").alias("t"), pick(3, "NX", "N0", "N1").alias("n"),
+        pick(4, "M0", "MX", "M1", "M0").alias("m"), pick(7, "not reported", "yes", "no", "no", "no", "yes", "no").alias("prior_malignancy"),
+        pick(2, "Not Reported", "No").alias("synchronous_malignancy"), pick(6, "male", "female", "male", "male", "female", "female").alias("gender"),
+        (F.col("c_custkey") % 60 + 30).cast("int").alias("age_at_index"), number(11).alias("pack_years_smoked"),
+        number(9).alias("dim_short"), number(10).alias("dim_mid"), number(13).alias("dim_long"),
+        F.when(F.col("o_orderstatus") == "F", days).cast("int").alias("days_to_death"),
+        F.when(F.col("o_orderkey") % 8 != 3, days + 1).cast("int").alias("days_to_last_follow_up"),
+        F.when(F.col("o_orderstatus") == "F", "Dead").when(F.col("o_orderstatus") == "O", "Alive").alias("vital_status")))
+
+
+def eligible(spark, sf_dir) -> DataFrame:
+    """Samples of the study with their subtype: customers that are not in debt."""
+    first = F.col("c_mktsegment").isin(FIRST_SUBTYPE)
+    return (table(spark, sf_dir, "customer").where("c_acctbal >= 0")
+            .select(barcode("c_custkey").alias("sample_id"), F.when(first, SUBTYPES[0]).otherwise(SUBTYPES[1]).alias("subtype")))
+
+
+def _probe_name():
+    return F.concat_ws("-", F.when(F.col("l_returnflag") == "R", "rs").otherwise("cg"), F.col("l_linenumber").cast("string"), "l_returnflag")
+
+
+def probes(spark, sf_dir) -> DataFrame:
+    """Raw probe values per specimen: mean discount and tax by line number and flag, some missing, some SNP probes ('rs')."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    name = _probe_name()
+    value = F.avg(F.col("l_discount") * 5 + F.col("l_tax"))
+    return (l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("o_custkey", "o_orderkey", name.alias("feature_id")).agg(value.alias("v"))
+            .select(F.concat_ws("-", barcode("o_custkey"), F.format_string("%010d", "o_orderkey")).alias("sample_id"), "feature_id",
+                    F.when(F.col("o_orderkey") % 9 != 4, F.col("v")).alias("value")))
+
+
+def probe_annotation(spark, sf_dir) -> DataFrame:
+    """Where each probe lies: all line numbers but 2 are islands."""
+    names = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag").distinct()
+    name = _probe_name()
+    return names.select(name.alias("probe_id"), F.when(F.col("l_linenumber") != 2, "Island").otherwise("OpenSea").alias("island_relation"))

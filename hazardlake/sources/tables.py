@@ -1,12 +1,17 @@
 """Readers, writers and lineage cuts."""
 
+import hashlib
+import json
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+TEXT = {"csv": ",", "tsv": "\t"}
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL at ingest, so that aggregates skip it."""
@@ -33,9 +38,10 @@ def read_tsv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "csv", partition_by=()) -> None:
+    """Write ``df`` as csv, tsv or another format; NULL is NA in text, as the readers expect it."""
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
-    if fmt == "csv":
-        writer.csv(path, header=True, escape='"')
+    if fmt in TEXT:
+        writer.csv(path, header=True, escape='"', sep=TEXT[fmt], nullValue="NA")
     else:
         writer.format(fmt).save(path)
 
@@ -46,6 +52,50 @@ def stage(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fingerprint(spark: SparkSession, inputs, settings: dict) -> str:
+    """A name for what a stage is made from: files (or folders of files) with sizes and times, and settings."""
+    found = []
+    for path in inputs:
+        place, system = _place(spark, path)
+        top = system.getFileStatus(place)
+        for status in system.listStatus(place) if top.isDirectory() else [top]:
+            found.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
+    text = json.dumps([sorted(found), settings], sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()[:24]
+
+
+def finished_stage(spark: SparkSession, folder: str, name: str, inputs, settings: dict, build) -> DataFrame:
+    """The table of stage ``name`` below ``folder``: read if it is finished, else made by ``build()`` and written.
+
+    A stage is known by the fingerprint of its input files and settings. One without Spark's mark
+    of success was cut off and is written anew. Once a stage is written, its versions of other
+    fingerprints are deleted, so a folder holds one version of every stage. A stage name belongs
+    to one run at a time.
+    """
+    now = fingerprint(spark, inputs, settings)
+    path = f"{folder}/{name}/{now}"
+    mark, system = _place(spark, f"{path}/_SUCCESS")
+    if not system.exists(mark):
+        build().write.mode("overwrite").parquet(path)
+        for status in system.listStatus(_place(spark, f"{folder}/{name}")[0]):
+            if status.getPath().getName() != now:
+                system.delete(status.getPath(), True)
+    return spark.read.parquet(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share; it goes when the session ends."""
+    path = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    return path
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors share.
 

@@ -266,3 +266,31 @@ def test_expression_plan(spark):
     raw = long(spark, rows)
     assert {r.feature_id for r in P.expression(raw, ids, ids, "lncRNA", lnc).collect()} == {"L1"}
     assert {r.feature_id for r in P.expression(raw, ids, ids, "mRNA", lnc, keep_list=False).collect()} == {"E1"}
+
+
+def test_finished_stage(spark, tmp_path):
+    """Read again while inputs and settings stay; made anew if either changes or the write was cut off."""
+    source, folder, made = tmp_path / "in.parquet", tmp_path / "stages", []
+    spark.range(5).write.parquet(str(source))
+
+    def run(k):
+        def build():
+            made.append(k)
+            return spark.read.parquet(str(source)).withColumn("k", F.lit(k))
+        return {tuple(r) for r in tables.finished_stage(spark, str(folder), "s", [str(source)], {"k": k}, build).collect()}
+
+    assert run(1) == run(1) == {(i, 1) for i in range(5)} and made == [1]
+    assert run(2) == {(i, 2) for i in range(5)} and made == [1, 2]
+    left, = (folder / "s").iterdir()  # the version of other settings is gone
+    (left / "_SUCCESS").unlink()
+    assert run(2) == {(i, 2) for i in range(5)} and made == [1, 2, 2]
+    spark.range(7).write.mode("overwrite").parquet(str(source))
+    assert len(run(2)) == 7 and made == [1, 2, 2, 2]
+
+
+def test_text_keeps_nulls_and_quotes(spark, tmp_path):
+    rows = [("a,b", 1.5, None), ('say "x"', None, "t\tu"), (None, -2.0, "")]
+    df = spark.createDataFrame(rows, "a string, x double, b string")
+    for fmt, read in (("csv", tables.read_csv), ("tsv", tables.read_tsv)):
+        tables.write_results(df, str(tmp_path / fmt), fmt)
+        assert {tuple(r) for r in read(spark, str(tmp_path / fmt), df.schema).collect()} == set(rows)
