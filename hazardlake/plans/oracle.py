@@ -273,7 +273,7 @@ def oracles():
       SELECT printf('CUST-%014d', o_custkey) AS sample_id, o_orderkey,
              (CASE WHEN l_returnflag = 'R' THEN 'rs' ELSE 'cg' END) || '-' || l_linenumber || '-' || l_returnflag AS feature_id, l_linenumber AS line,
              CASE WHEN o_orderkey % 9 <> 4 THEN avg(l_discount * 5 + l_tax) END AS value
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, l_returnflag, l_linenumber),
     one AS (SELECT * FROM probes WHERE sample_id IN (SELECT sample_id FROM eligible)
             QUALIFY row_number() OVER (PARTITION BY sample_id, feature_id ORDER BY o_orderkey) = 1),
     plain AS (SELECT * FROM one WHERE feature_id NOT LIKE 'rs%'),
