@@ -14,6 +14,8 @@ from .common import MULT, mix64
 WORD, CHAR, HIDDEN, NGRAMS = 8, 12, 8, 1 << 14
 #: Words of a window and between the starts of two; windows that advance together.
 WINDOW, STRIDE, BATCH = 48, 24, 2048
+#: Words that are hashed and texts whose n-grams are counted at once, for memory.
+WORDS, TEXTS = 1 << 16, 50
 
 # ASCII characters other than letters, digits and those over 127 separate words; A-Z become a-z.
 _LETTER = np.array([chr(i).isalnum() or i > 127 for i in range(256)])
@@ -29,11 +31,13 @@ class Types:
         edge = np.flatnonzero(np.diff(letter))
         start, end = edge[0::2] + 1, edge[1::2] + 1
         # A word's hash is the sum of its characters' hashes by place, so 64 bits are mixed at each.
-        length = end - start
-        at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        place = at - np.repeat(start, length)
-        each = mix64((place.astype(np.uint64) << np.uint64(8) | data[at]) * MULT)
-        h = mix64(np.add.reduceat(each, np.cumsum(length) - length)) if len(start) else np.zeros(0, np.uint64)
+        length, h = end - start, np.zeros(len(start), np.uint64)
+        for i in range(0, len(start), WORDS):
+            begin, n = start[i:i + WORDS], length[i:i + WORDS]
+            first = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(first, n)
+            each = mix64((place.astype(np.uint64) << np.uint64(8) | data[np.repeat(begin, n) + place]) * MULT)
+            h[i:i + WORDS] = mix64(np.add.reduceat(each, first))
         order = np.argsort(h, kind="stable")
         new = np.concatenate([[True], h[order][1:] != h[order][:-1]])[:len(h)]
         self.of = np.empty(len(h), np.int64)
@@ -306,8 +310,13 @@ def _start_from_counts(net: Network, types: Types, labels: np.ndarray) -> None:
     net.p["word"][0] = 0
     begin = np.searchsorted(types.owner, np.arange(len(types.hashes)))
     count = types.n_grams[kind]
-    at = np.repeat(begin[kind] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    both = np.unique(np.repeat(text, count) * NGRAMS + types.grams[at])
+    found = [np.zeros(0, np.int64)]
+    for i in range(0, len(labels), TEXTS):
+        part = slice(*np.searchsorted(text, [i, i + TEXTS]))
+        n = count[part]
+        at = np.repeat(begin[kind[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found.append(np.unique(np.repeat(text[part], n) * NGRAMS + types.grams[at]))
+    both = np.concatenate(found)
     net.p["char"][:, 0] = telling(both // NGRAMS, both % NGRAMS, NGRAMS)
 
 
