@@ -48,12 +48,12 @@ class Types:
         self.first = np.searchsorted(start, begins)
         # N-grams of 3 and 4 bytes, with the separators on both sides as one mark.
         start, length = start[one], length[one] + 2
-        marked = np.where(letter, data, 0).astype(np.uint64)
+        marked = np.where(letter, data, np.uint8(0))
         grams, owners = [], []
         for n in (3, 4):
             count = np.maximum(0, length - n + 1)
             at = np.repeat(start - 1 - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            g = sum(marked[at + k] << np.uint64(8 * k) for k in range(n)) + np.uint64(n << 40)
+            g = sum(marked[at + k].astype(np.uint64) << np.uint64(8 * k) for k in range(n)) + np.uint64(n << 40)
             grams.append((mix64(g * MULT) >> np.uint64(32)).astype(np.int64) % NGRAMS)
             owners.append(np.repeat(np.arange(len(one)), count))
         self.grams, self.owner = np.concatenate(grams), np.concatenate(owners)
@@ -105,7 +105,7 @@ class Network:
         chars = np.zeros((len(ids), CHAR), np.float32)
         if len(types.grams):
             begin = np.searchsorted(types.owner, np.arange(len(ids)))
-            step = 200_000  # types at a time, for memory
+            step = 20_000  # types at a time, for memory
             for i in range(0, len(ids), step):
                 j = min(i + step, len(ids))
                 stop = begin[j] if j < len(ids) else len(types.grams)
