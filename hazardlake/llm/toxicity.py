@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,19 +24,37 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, longest: int = LONGEST) -> Network | None:
-    """A network fitted on the driver to a bounded sample of the labels that may be learnt.
+    """A network fitted in one task to a bounded sample of the labels that may be learnt.
 
     The sample holds at most ``sample`` clean and toxic documents, the first by a hash of doc_id,
     with texts of at most ``longest`` characters. A document is toxic if any of its labels says so.
+    Only the network reaches the driver; None if the sample does not have both classes.
     """
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
-    rows = []
+    parts = []
     for toxic in (1, 0):
         ids = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[toxic])
-        rows += texts.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * sample[toxic]).collect()
-    return train([r.text.encode("utf-8", "replace") for r in rows], np.array([r.toxic for r in rows]))
+        parts.append(texts.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * sample[toxic])
+                     .select("doc_id", F.col("text").cast("binary").alias("text"), F.col("toxic").cast("long").alias("toxic")))
+
+    def fit(batches):
+        found, marks = [], []
+        for b in batches:
+            found += b.column(1).to_pylist()
+            marks += b.column(2).to_pylist()
+        net = train(found, np.array(marks, np.int64)) if found else None
+        if net:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(net))], pa.binary())], names=["network"])
+
+    fitted = (parts[0].unionByName(parts[1]).repartition(1).sortWithinPartitions(F.desc("toxic"), "doc_id", "text")
+              .mapInArrow(fit, "network binary").first())
+    if not fitted:
+        return None
+    network = object.__new__(Network)
+    vars(network).update(pickle.loads(fitted.network))
+    return network
 
 
 def score(docs: DataFrame, network: Network | None, to: str = "score") -> DataFrame:
