@@ -135,7 +135,7 @@ def cox_screen(long: DataFrame, cohort: DataFrame, by=("modality",), time="time"
     keys = [*by, "feature_id"]
     rows = long.where(F.col("value").isNotNull()).join(cohort, "sample_id")
     out = _score_from_cells(_cells(rows, keys, time, event), keys, time)
-    return out.withColumn("p", chi2_sf("chi2", F.lit(1)))
+    return out.withColumn("p", chi2_sf("chi2"))
 
 
 def cox_screen_cv(long: DataFrame, folded: DataFrame, k: int = 5, by=("modality",), time="time",
@@ -159,7 +159,7 @@ def cox_screen_cv(long: DataFrame, folded: DataFrame, k: int = 5, by=("modality"
         x["mean"] - F.col("mean"), F.lit(2.0)))
     cells = merged.withColumn("m2", F.col("within") + between).drop("within", "parts")
     out = _score_from_cells(cells, keys, time)
-    return out.withColumn("p", chi2_sf("chi2", F.lit(1)))
+    return out.withColumn("p", chi2_sf("chi2"))
 
 
 def screen_select(screen: DataFrame, n, by=("modality",), p_max: float = 0.8) -> DataFrame:

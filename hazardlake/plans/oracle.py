@@ -116,7 +116,7 @@ GROUPS = """
 groups AS (SELECT *, CASE WHEN subtype = 'LUSC' THEN 'BadPrognosis' ELSE 'GoodPrognosis' END AS grp FROM cohort)"""
 
 
-def anova(source, groups, digits=6):
+def anova_totals(source, groups):
     return f"""
 cells AS (SELECT feature_id, grp, CAST(count(*) AS DOUBLE) AS n, avg(value) AS mean,
                  count(*) * var_pop(value) AS within
@@ -124,11 +124,33 @@ cells AS (SELECT feature_id, grp, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m
 dev AS (SELECT *, mean - sum(n * mean) OVER (PARTITION BY feature_id) / sum(n) OVER (PARTITION BY feature_id) AS dev
         FROM cells),
 total AS (SELECT feature_id, count(*) - 1 AS df, CAST(sum(n) AS BIGINT) - count(*) AS df_resid,
-                 sum(n * dev * dev) AS sum_sq, sum(within) AS ssw FROM dev GROUP BY feature_id)
+                 sum(n * dev * dev) AS sum_sq, sum(within) AS ssw FROM dev GROUP BY feature_id)"""
+
+
+def anova(source, groups, digits=6):
+    return anova_totals(source, groups) + f"""
 SELECT feature_id, df, df_resid, round(sum_sq, {digits}) AS sum_sq, round(sum_sq / df, {digits}) AS mean_sq,
        round((sum_sq / df) / (ssw / df_resid), {digits}) AS f_value FROM total"""
 
 
+#: Upper tail of chi-square with one degree of freedom, and of F with one and four above any number below, as
+#: series of positive terms or in closed form; ``y`` is half the statistic, ``u`` is df1 * f / df2.
+CHI2_ONE = """CASE WHEN y <= 0 THEN 1 WHEN y > 40 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 300),
+    lambda n: exp((n + 0.5) * ln(y) - y - lgamma(n + 1.5)))) END"""
+F_ONE = """CASE WHEN u <= 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 5000),
+    lambda n: exp(lgamma(df_resid / 2.0 + n + 0.5) - lgamma(df_resid / 2.0) - lgamma(n + 1.5)
+                  + (n + 0.5) * ln(u / (1 + u)) - df_resid / 2.0 * ln(1 + u)))) END"""
+F_FOUR = "pow(1 + u, -df_resid / 2.0) * (1 + df_resid / 2.0 * u / (1 + u))"
+
+
+def determinant(cells):
+    """SQL text of the determinant of a square of SQL texts, by its first row."""
+    if len(cells) == 1:
+        return cells[0][0]
+    minor = lambda j: determinant([row[:j] + row[j + 1:] for row in cells[1:]])
+    return "(" + " ".join(f"{'+-'[j % 2]} {c} * {minor(j)}" for j, c in enumerate(cells[0])) + ")"
+
+
 GENES = """
 first_part AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)
                WHERE rn = 1),
@@ -219,6 +241,25 @@ def oracles():
            round(sum(CASE WHEN a.n > 1 THEN a.d * (a.n - a.d) / (a.n - 1) ELSE 0 END * a.ng / a.n
                  * (CASE WHEN a.segment = b.segment THEN 1 ELSE 0 END - b.ng / b.n)), 6) AS v
     FROM n a JOIN n b ON a.time = b.time GROUP BY a.segment, b.segment"""
+    z, v = [f"z{i}" for i in range(4)], [[f"v{i}{j}" for j in range(4)] for i in range(4)]
+    bordered = [row + [z[i]] for i, row in enumerate(v)] + [[*z, "0.0::DOUBLE"]]
+    cell = "max(CASE WHEN g = {0} AND h = {1} THEN {2} END)"
+    q["logrank_p_value"] = with_(COHORT, CLINICAL) + f""",
+    x AS (SELECT time, event, segment, dense_rank() OVER (ORDER BY segment) - 1 AS g FROM cohort JOIN clinical USING (sample_id)),
+    d AS (SELECT time, CAST(sum(event) AS DOUBLE) AS d FROM x GROUP BY time HAVING sum(event) > 0),
+    n AS (SELECT d.time, d.d, s.g, CAST(sum(CASE WHEN x.g = s.g THEN 1 ELSE 0 END) AS DOUBLE) AS ng, CAST(count(*) AS DOUBLE) AS n
+          FROM d CROSS JOIN (SELECT DISTINCT g FROM x) s JOIN x ON x.time >= d.time GROUP BY ALL),
+    parts AS (SELECT a.g, b.g AS h, (SELECT sum(event) FROM x WHERE x.g = a.g) - sum(a.d * a.ng / a.n) AS z,
+                     sum(CASE WHEN a.n > 1 THEN a.d * (a.n - a.d) / (a.n - 1) ELSE 0 END * a.ng / a.n
+                         * (CASE WHEN a.g = b.g THEN 1 ELSE 0 END - b.ng / b.n)) AS v
+              FROM n a JOIN n b ON a.time = b.time GROUP BY a.g, b.g),
+    wide AS (SELECT {', '.join([cell.format(i, i, 'z') + f' AS z{i}' for i in range(4)]
+                               + [cell.format(i, j, 'v') + f' AS v{i}{j}' for i in range(4) for j in range(4)])} FROM parts),
+    c AS (SELECT -{determinant(bordered)} / {determinant(v)} AS chi2 FROM wide)
+    SELECT round(chi2, 6) AS chi2, 4::INTEGER AS df, round(exp(-chi2 / 2) * (1 + chi2 / 2), 9) AS p FROM c"""
+    q["cox_screen_p"] = with_(COHORT, DENSE, "src AS (SELECT * FROM dense JOIN cohort USING (sample_id))",
+                              screen("src", ["feature_id"])) + f"""
+    SELECT feature_id, round({CHI2_ONE}, 9) AS p FROM (SELECT feature_id, u * u / v / 2 AS y FROM score)"""
     q["cox_screen"] = with_(COHORT, DENSE, "src AS (SELECT * FROM dense JOIN cohort USING (sample_id))",
                             screen("src", ["feature_id"])) + """
     SELECT feature_id, round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chi2 FROM score"""
@@ -422,6 +463,19 @@ def oracles():
     q["anova_by_feature"] = with_(COHORT, DENSE, GROUPS, anova("dense", "groups"))
     q["anova_many_groups"] = with_(COHORT, CLINICAL, BRAND, "g AS (SELECT sample_id, region AS grp FROM clinical)",
                                    anova("brand", "g", 4))
+    q["anova_p_values"] = with_(COHORT, CLINICAL, BRAND, "g AS (SELECT sample_id, region AS grp FROM clinical)",
+                                anova_totals("brand", "g")) + f"""
+    SELECT feature_id, df, df_resid, round({F_FOUR}, 9) AS p FROM (SELECT *, sum_sq / ssw AS u FROM total)"""
+    q["differential_methylation"] = with_(COHORT, DENSE, GROUPS, anova_totals("dense", "groups")) + f""",
+    m AS (SELECT feature_id, avg(CASE WHEN grp = 'BadPrognosis' THEN value END)
+                 - avg(CASE WHEN grp = 'GoodPrognosis' THEN value END) AS d
+          FROM dense JOIN groups USING (sample_id) GROUP BY feature_id),
+    tested AS (SELECT *, {F_ONE} AS p FROM (SELECT *, sum_sq / ssw AS u FROM total)),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY p, feature_id) AS r, count(*) OVER () AS n FROM tested)
+    SELECT feature_id, round(d, 6) AS mean_difference, df, df_resid, round(sum_sq, 6) AS sum_sq,
+           round(sum_sq / df, 6) AS mean_sq, round((sum_sq / df) / (ssw / df_resid), 6) AS f_value, round(p, 9) AS p,
+           round(least(1.0::DOUBLE, min(p * n / r) OVER (ORDER BY r DESC)), 9) AS padj
+    FROM ranked JOIN m USING (feature_id)"""
     q["mean_difference"] = with_(COHORT, DENSE, GROUPS) + """,
     m AS (SELECT feature_id, avg(CASE WHEN grp = 'BadPrognosis' THEN value END)
                  - avg(CASE WHEN grp = 'GoodPrognosis' THEN value END) AS d

@@ -68,7 +68,7 @@ def logrank_components(spark, sf):
 @query
 def logrank_p_value(spark, sf):
     c = X.cohort(spark, sf).join(X.clinical(spark, sf).select("sample_id", "segment"), "sample_id")
-    return V.logrank(c, "segment")
+    return rounded(rounded(V.logrank(c, "segment"), "chi2"), "p", digits=9)
 
 
 @query
@@ -77,6 +77,12 @@ def cox_screen(spark, sf):
     return rounded(out, "u", "v", "chi2").select("feature_id", "u", "v", "chi2")
 
 
+@query
+def cox_screen_p(spark, sf):
+    out = V.cox_screen(X.dense(spark, sf), X.cohort(spark, sf))
+    return rounded(out, "p", digits=9).select("feature_id", "p")
+
+
 @query
 def cox_screen_topn_per_fold(spark, sf):
     folds = E.stratified_folds(X.cohort(spark, sf), ["subtype"], 5)
@@ -542,6 +548,13 @@ def anova_many_groups(spark, sf):
     return rounded(D.anova_by_feature(X.brand(spark, sf), g).drop("p"), "sum_sq", "mean_sq", "f_value", digits=4)
 
 
+@query
+def anova_p_values(spark, sf):
+    """Five groups, so four degrees of freedom."""
+    g = X.clinical(spark, sf).select("sample_id", F.col("region").alias("grp"))
+    return rounded(D.anova_by_feature(X.brand(spark, sf), g), "p", digits=9).select("feature_id", "df", "df_resid", "p")
+
+
 @query
 def mean_difference(spark, sf):
     return rounded(D.mean_difference(X.dense(spark, sf), _groups(spark, sf)), "mean_difference", "abs_difference")
@@ -549,7 +562,8 @@ def mean_difference(spark, sf):
 
 @query
 def differential_methylation(spark, sf):
-    return D.differential_methylation(X.dense(spark, sf), _groups(spark, sf), adjust=True)
+    out = D.differential_methylation(X.dense(spark, sf), _groups(spark, sf), adjust=True)
+    return rounded(rounded(out, "mean_difference", "sum_sq", "mean_sq", "f_value"), "p", "padj", digits=9)
 
 
 def _p_values(spark, sf):

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -184,12 +187,46 @@ def test_size_factors(spark):
     assert got["b"] / got["a"] == pytest.approx(2) and got["c"] / got["a"] == pytest.approx(0.5)
 
 
-def test_tail_probabilities():
-    assert pvalues.gamma_upper(2.5, 4.0) == pytest.approx(0.15623562757772234, rel=1e-9)  # chi2 8 on 5 df
-    assert pvalues.gamma_upper(0.5, 1.920729410347062) == pytest.approx(0.05, rel=1e-9)
-    # F(2, 10): P(F > f) = (1 + f / 5)^-5
-    assert pvalues.beta_lower(5.0, 1.0, 10 / (10 + 2 * 4.0)) == pytest.approx((1 + 4 / 5) ** -5, rel=1e-12)
-    assert pvalues.beta_lower(1.0, 5.0, 0.3) == pytest.approx(1 - 0.7 ** 5, rel=1e-12)
+def _exact_beta(a, b, x):
+    """Incomplete beta of whole a and b: a binomial tail in fractions."""
+    n = a + b - 1
+    return float(sum(math.comb(n, j) * x ** j * (1 - x) ** (n - j) for j in range(a, n + 1)))
+
+
+def test_normal_and_chi2_tails(spark):
+    zs = [0.0, 1e-9, 0.1, 1.0, 1.999, 2.0, 2.5, 5.0, 15.0, 26.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(
+        "z", pvalues.normal_two_sided(-F.col("z")).alias("n"), pvalues.chi2_sf("z").alias("c"), pvalues.chi2_sf("z", F.lit(4)).alias("four"),
+        pvalues.chi2_sf("z", F.lit(5)).alias("five"))
+    for r in got.collect():
+        y = r.z / 2
+        one = math.erfc(math.sqrt(y))
+        assert r.n == pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-12) and r.c == pytest.approx(one, rel=1e-12)
+        assert r.four == pytest.approx(math.exp(-y) * (1 + y), rel=1e-12)
+        assert r.five == pytest.approx(one + math.exp(-y) * math.sqrt(y / math.pi) * (2 + 4 * y / 3), rel=1e-12)
+    odd = spark.createDataFrame([(None, 1), (1.0, None), (1.0, 0), (-1.0, 3)], "x double, k int")
+    assert [r.p for r in odd.select(pvalues.chi2_sf("x", "k").alias("p")).collect()] == [None, None, None, 1.0]
+
+
+def test_f_tails(spark):
+    rows = [(f, d1, d2) for f in (0.25, 1.0, 1.5, 4.0, 20.0) for d1 in (2, 4, 10, 60) for d2 in (2, 10, 100, 600)]
+    for r in spark.createDataFrame(rows, "f double, a long, b long").select("*", pvalues.f_sf("f", "a", "b").alias("p")).collect():
+        want = _exact_beta(r.b // 2, r.a // 2, Fraction(r.b) / (r.b + r.a * Fraction(r.f)))
+        assert r.p == pytest.approx(want, rel=1e-11)
+    # Two degrees above many: (1 + 2 f / d)^(-d / 2); one above one: an arc tangent.
+    rows = [(f, d) for f in (0.01, 1.0, 5.0, 50.0) for d in (10 ** 3, 10 ** 5, 10 ** 7)]
+    for r in spark.createDataFrame(rows, "f double, d long").select(
+            "*", pvalues.f_sf("f", F.lit(2), "d").alias("p"), pvalues.f_sf("f", F.lit(1), F.lit(1)).alias("q")).collect():
+        assert r.p == pytest.approx(math.exp(-r.d / 2 * math.log1p(2 * r.f / r.d)), rel=1e-9)
+        assert r.q == pytest.approx(2 / math.pi * math.atan(1 / math.sqrt(r.f)), rel=1e-12)
+    odd = spark.createDataFrame([(None, 1, 1), (1.0, 1, 0), (0.0, 2, 5)], "f double, a long, b long")
+    assert [r.p for r in odd.select(pvalues.f_sf("f", "a", "b").alias("p")).collect()] == [None, None, 1.0]
+
+
+def test_screens_start_no_python_worker(spark):
+    df = spark.createDataFrame([(1.0, 2, 9)], "f double, a long, b long").select(
+        pvalues.f_sf("f", "a", "b"), pvalues.chi2_sf("f", "a"), pvalues.normal_two_sided("f"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_ln_gamma(spark):
