@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 from hazardlake.functions.pvalues import f_sf
 from hazardlake.functions.scalar import beta_to_m
 from hazardlake.operators.layout import complete_features, map_probes_to_genes, null_safe_join
+from hazardlake.operators.ranks import in_ranges, with_totals_before
 from hazardlake.sources.tables import cut_lineage
 
-BUCKETS = 64
-
 
 def two_groups(cohort: DataFrame, bad: DataFrame) -> DataFrame:
     """Adds ``grp``: 'BadPrognosis' for the listed samples, else the reference 'GoodPrognosis'."""
@@ -65,28 +64,18 @@ def differential_methylation(gene_values: DataFrame, groups: DataFrame, adjust=F
 def bh_adjust(df: DataFrame, p="p", partition_by=(), alias="padj") -> DataFrame:
     """Benjamini-Hochberg adjusted p per partition, without sorting a partition in one task.
 
-    Distinct p-values are cut at sketched quantiles; ranks and running minima are formed inside
-    the buckets and completed by totals over the (at most ``BUCKETS``) buckets. NULL stays NULL.
+    Distinct p-values are parted by range; ranks and running minima are formed inside the ranges and
+    completed by totals over the ranges. NULL stays NULL.
     The input, one row per test, is checkpointed: it is read several times.
     """
     by = list(partition_by)
     df = cut_lineage(df)
     distinct = (df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p"))
                 .agg(F.count("*").alias("_n")))
-    probes = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = distinct.groupBy(*by).agg(F.percentile_approx("_p", probes, 1000).alias("_cuts"))
-    placed = null_safe_join(distinct, cuts, by) if by else distinct.withColumn("_cuts", cuts.scalar())
-    placed = placed.withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_p")))).drop("_cuts")
-    inner = Window.partitionBy(*by, "_b")
-    ranked = placed.withColumn("_in", F.sum("_n").over(
+    over, inner = Window.partitionBy(*by), Window.partitionBy(*by, "_b")
+    ranked = in_ranges(distinct, by, "_p").withColumn("_in", F.sum("_n").over(
         inner.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_size"))
-    over = Window.partitionBy(*by)
-    sizes = (sizes.withColumn("_before", F.coalesce(F.sum("_size").over(
-        over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_m", F.sum("_size").over(over)))
-    raw = null_safe_join(ranked, sizes, [*by, "_b"]).withColumn(
+    raw = with_totals_before(ranked, by, F.sum("_n")).withColumn(
         "_raw", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_in")))
     lows = raw.groupBy(*by, "_b").agg(F.min("_raw").alias("_low"))
     lows = lows.select(*by, "_b", F.min("_low").over(

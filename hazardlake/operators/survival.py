@@ -12,10 +12,9 @@ from pyspark.sql.types import DoubleType
 
 from hazardlake.functions.pvalues import chi2_sf
 from hazardlake.operators.clean import top_n
-from hazardlake.operators.layout import null_safe_join
+from hazardlake.operators.ranks import in_ranges, with_totals_before
 
 Z95 = 1.959963984540054
-SCORE_BUCKETS = 64
 
 
 def kaplan_meier(df: DataFrame, by=(), time="time", event="event") -> DataFrame:
@@ -185,21 +184,13 @@ def cox_predict(long: DataFrame, coefs: DataFrame, ids=("sample_id",), by=()) ->
 
 
 def _score_ranks(rows: DataFrame, by) -> DataFrame:
-    """Adds the score bucket ``b`` (0..63) and, inside it, the rank ``r`` from 0 and its digits.
-
-    Buckets are cut at sketched quantiles of the group, so each holds about 1/64 of its distinct
-    scores and the ranks inside can be found by an ordinary window.
-    """
-    probes = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    cuts = rows.groupBy(*by).agg(F.percentile_approx("s", probes, 1000).alias("cuts"))
-    placed = null_safe_join(rows, cuts, by) if by else rows.withColumn("cuts", cuts.scalar())
-    placed = placed.withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("s"))).cast("bigint"))
-    w = Window.partitionBy(*by, "b")
-    ranked = placed.drop("cuts").withColumn(
-        "r", (F.dense_rank().over(w.orderBy("s")) - 1).cast("bigint"))
-    top = F.max("r").over(w)
-    return ranked.withColumn("digits", F.when(top > 0, F.floor(F.log2(top.cast("double")) / 3) + 1)
-                             .otherwise(0).cast("int"))
+    """Adds the rank ``r`` of the score ``s`` in its group, from 0, equal scores alike, and how many octal digits ranks have."""
+    ranked = in_ranges(rows, by, "s").withColumn(
+        "_in", (F.dense_rank().over(Window.partitionBy(*by, "_b").orderBy("s")) - 1).cast("bigint"))
+    placed = with_totals_before(ranked, by, F.max("_in") + 1)
+    top = F.col("_m") - 1
+    digits = F.when(top > 0, F.floor(F.log2(top.cast("double")) / 3) + 1).otherwise(0).cast("int")
+    return placed.withColumn("r", F.col("_before") + F.col("_in")).withColumn("digits", digits).drop("_b", "_in", "_before", "_m")
 
 
 def concordance(df: DataFrame, by=(), score="score", time="time", event="event") -> DataFrame:
@@ -208,11 +199,11 @@ def concordance(df: DataFrame, by=(), score="score", time="time", event="event")
     A pair is comparable if the earlier time is an event, or if both times are equal and exactly
     one is an event; higher scores should fail earlier; equal scores count one half.
 
-    Scores become octal numbers: two digits for a quantile bucket, then the rank inside it. Two
-    different scores differ first in one digit; for each digit position rows are counted by
-    (leading digits, digit, day), and a running total over days counts, for every event, the
-    later rows with a smaller digit. Each pair is found at exactly one position. Windows hold one
-    row per distinct day, so a group with most of the data is spread like any other.
+    Scores become octal numbers, their ranks in the group. Two different scores differ first in one
+    digit; for each digit position rows are counted by (leading digits, digit, day), and a running
+    total over days counts, for every event, the later rows with a smaller digit. Each pair is found
+    at exactly one position. Windows hold one row per distinct day, so a group with most of the data
+    is spread like any other.
     """
     by = list(by)
     rows = (df.where(F.col(score).isNotNull())
@@ -224,14 +215,10 @@ def concordance(df: DataFrame, by=(), score="score", time="time", event="event")
     entry = lambda lv, lead, d: F.struct(
         F.lit(lv).cast("int").alias("lv") if isinstance(lv, int) else lv.cast("int").alias("lv"),
         lead.cast("bigint").alias("lead"), d.cast("int").alias("d"))
-    b, r, zero = F.col("b"), F.col("r"), F.lit(0)
-    inside = F.shiftleft(b, 40)
-    fixed = F.array(entry(0, zero, F.lit(7)), entry(1, inside + r, F.lit(7)),
-                    entry(2, zero, F.shiftright(b, 3)), entry(3, F.shiftright(b, 3), b.bitwiseAND(7)))
-    ranks = F.expr("transform(sequence(1, digits), i -> named_struct("
-                   "'lv', cast(3 + i as int), "
-                   "'lead', cast(shiftleft(b, 40) + shiftright(r, 3 * i) as bigint), "
-                   "'d', cast(shiftright(r, 3 * (i - 1)) & 7 as int)))")
+    zero = F.lit(0)
+    fixed = F.array(entry(0, zero, F.lit(7)), entry(1, F.col("r"), F.lit(7)))
+    ranks = F.expr("transform(sequence(1, digits), i -> named_struct('lv', cast(1 + i as int), "
+                   "'lead', shiftright(r, 3 * i), 'd', cast(shiftright(r, 3 * (i - 1)) & 7 as int)))")
     positions = F.concat(fixed, F.when(F.col("digits") > 0, ranks).otherwise(F.slice(fixed, 1, 0)))
     cells = (ranked.select(*by, "t", "n", "e", F.explode(positions).alias("x"))
              .select(*by, "t", "n", "e", "x.*")

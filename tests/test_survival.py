@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.operators import coxnet, coxpath
 from hazardlake.operators import survival as V
+from hazardlake.operators.diff import bh_adjust
 from hazardlake.operators.blocks import ModelRows
 
 
@@ -217,3 +218,34 @@ def test_elastic_net_does_not_depend_on_partitions(spark):
         out.append(coefs.orderBy("lambda_at", "pos").toPandas().coef.values)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     np.testing.assert_allclose(out[0], out[1], atol=1e-8)
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """More ranges than any fixed number of buckets, not joined again by adaptive execution."""
+    settings = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_ranks_over_many_ranges(spark, many_ranges):
+    rng = np.random.default_rng(8)
+    n = 900
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.8, "hot", "cold"), "score": np.round(rng.standard_normal(n), 2),
+                        "time": rng.integers(1, 40, n), "event": rng.integers(0, 2, n), "p": rng.integers(1, 500, n) / 500.0})
+    df = spark.createDataFrame(pdf)
+    got = {r.g: r for r in V.concordance(df, ["g"]).collect()}
+    adjusted = {(r.g, r.p): r.padj for r in bh_adjust(df.select("g", "p"), "p", ["g"]).collect()}
+    for g, part in pdf.groupby("g"):
+        t, e, s = (part[c].to_numpy() for c in ("time", "event", "score"))
+        pair = (e[:, None] == 1) & ((t[None] > t[:, None]) | ((t[None] == t[:, None]) & (e[None] == 0)))
+        assert got[g].comparable == pair.sum() and got[g].tied == (pair & (s[:, None] == s[None])).sum()
+        assert got[g].concordant == (pair & (s[:, None] > s[None])).sum()
+        p = np.sort(part.p.to_numpy())
+        raw = np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+        for value, want in zip(p, np.minimum(raw, 1)):
+            assert adjusted[g, value] == pytest.approx(want, rel=1e-12)
