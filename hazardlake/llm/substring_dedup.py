@@ -20,19 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table, text_slices
+from .common import fresh, stored, table, text_slices
 from .hashing import Words
 
 WIDTH, GRAM = 13, 5
 #: A span is its first window's place times this, plus its number of windows.
 PACK = 16
 
-_KEYED = "anchor long, segment long, segment2 long, doc_id long, span long"
-_SPANS = "doc_id long, span long, ref_doc long, ref_span long"
-_KEYED_ARROW = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64())])
+_KEYED = "anchor long, segment long, segment2 long, doc_id long, version long, span long"
+_SPANS = "doc_id long, version long, span long, ref_doc long, ref_span long"
+_KEYED_ARROW = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("span", pa.int64())])
 #: With the second of a segment's two hashes, as blocks are made.
 _TWICE_ARROW = _KEYED_ARROW.insert(2, pa.field("segment2", pa.int64()))
-_SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("span", pa.int64()), ("ref_doc", pa.int64()), ("ref_span", pa.int64())])
+_SPAN_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "version", "span", "ref_doc", "ref_span")])
 
 
 def _record(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -40,8 +40,8 @@ def _record(schema: pa.Schema, *columns) -> pa.RecordBatch:
                                       schema=schema)
 
 
-def _without_reference(doc, span) -> pa.RecordBatch:
-    return _record(_SPAN_ARROW, doc, span, *[pa.nulls(len(doc), pa.int64())] * 2)
+def _without_reference(doc, version, span) -> pa.RecordBatch:
+    return _record(_SPAN_ARROW, doc, version, span, *[pa.nulls(len(doc), pa.int64())] * 2)
 
 
 def _segments(words: Words, width: int, gram: int):
@@ -67,7 +67,17 @@ def _segments(words: Words, width: int, gram: int):
     return keys[p[new]], one, two, r[new], start - words.first[r[new]], count
 
 
-def _keyed_spans(docs: DataFrame, width: int, gram: int, repeats: bool) -> DataFrame:
+def _with_version(docs: DataFrame, version: str) -> DataFrame:
+    """Add 0, or a hash of the text where rows of one doc_id have different texts."""
+    least, most = fresh(docs, "_least", "_most")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = stored(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(text).alias(least), F.max(text).alias(most))
+                     .where(F.col(least) != F.col(most)).select("doc_id", least))
+    own = F.when(F.col(least).isNotNull(), text).otherwise(F.lit(0))
+    return docs.join(several, "doc_id", "left").withColumn(version, own).select(*docs.columns, version)
+
+
+def _keyed_spans(docs: DataFrame, version: str, width: int, gram: int, repeats: bool) -> DataFrame:
     """Segments of documents, combined by slice: of equal ones those of the least doc_id go on.
 
     With ``repeats``: the others, which are copies of these. So a passage that is everywhere sends
@@ -78,37 +88,37 @@ def _keyed_spans(docs: DataFrame, width: int, gram: int, repeats: bool) -> DataF
         for b in batches:
             ids = b.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
+            ids, versions = ids.fill_null(0).to_numpy(), b.column(2).to_numpy()
             for i, j, texts in text_slices(b.column(1)):
                 anchor, one, two, row, start, count = _segments(Words(texts), width, gram)
                 keep = known[i:j][row]
                 anchor, one, two, row, start, count = (x[keep] for x in (anchor, one, two, row, start, count))
-                doc, span = ids[i:j][row], start * PACK + count
-                order = np.lexsort((span, doc, two, one, anchor))
-                anchor, one, two, doc, span = (x[order] for x in (anchor, one, two, doc, span))
+                doc, ver, span = ids[i:j][row], versions[i:j][row], start * PACK + count
+                order = np.lexsort((span, ver, doc, two, one, anchor))
+                anchor, one, two, doc, ver, span = (x[order] for x in (anchor, one, two, doc, ver, span))
                 new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[:len(anchor)]
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
                 copy = doc != doc[head]
                 if repeats:
-                    yield _record(_SPAN_ARROW, doc[copy], span[copy], doc[head][copy], span[head][copy])
+                    yield _record(_SPAN_ARROW, doc[copy], ver[copy], span[copy], doc[head][copy], span[head][copy])
                 else:
-                    yield _record(_TWICE_ARROW, *(x[~copy] for x in (anchor.view(np.int64), one, two, doc, span)))
+                    yield _record(_TWICE_ARROW, *(x[~copy] for x in (anchor.view(np.int64), one, two, doc, ver, span)))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SPANS if repeats else _KEYED)
+    return docs.select(F.col("doc_id").cast("long"), "text", version).mapInArrow(run, _SPANS if repeats else _KEYED)
 
 
 def _resolve(batches):
-    """Spans of a block, sorted by (anchor, segment hashes, doc_id, span), as they stream by.
+    """Spans of a block, sorted by (anchor, segment hashes, doc_id, version, span), as they stream by.
 
     A segment's later documents refer to its first one. Spans of first documents come without a
     reference if their anchor has other segments too, whose windows they may share.
     """
     anchor = segments = doc = span = None  # of the group open at the end of the last batch
-    several, held_doc, held_span = False, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    several, held = False, [np.zeros(0, np.int64)] * 3
     for b in batches:
         if not b.num_rows:
             continue
-        a, *hashes, d, p = (c.to_numpy() for c in b.columns)
+        a, *hashes, d, v, p = (c.to_numpy() for c in b.columns)
         new_anchor = np.concatenate([[anchor is None or a[0] != anchor], a[1:] != a[:-1]])
         new = new_anchor.copy()
         for k, s in enumerate(hashes):
@@ -124,31 +134,30 @@ def _resolve(batches):
         kinds[0] += (1 + several) if anchor is not None else 0
         many = kinds > 1
         if many[0]:
-            yield _without_reference(held_doc, held_span)
-            held_doc, held_span = held_doc[:0], held_span[:0]
-        if number[-1] > 0:
-            held_doc, held_span = held_doc[:0], held_span[:0]
+            yield _without_reference(*held)
+        if many[0] or number[-1] > 0:
+            held = [x[:0] for x in held]
         check = own & many[number]
         wait = own & ~many[number] & (number == number[-1])
-        held_doc, held_span = np.concatenate([held_doc, d[wait]]), np.concatenate([held_span, p[wait]])
-        yield _record(_SPAN_ARROW, d[~own], p[~own], first_doc[~own], first_span[~own])
-        yield _without_reference(d[check], p[check])
+        held = [np.concatenate([x, y[wait]]) for x, y in zip(held, (d, v, p))]
+        yield _record(_SPAN_ARROW, d[~own], v[~own], p[~own], first_doc[~own], first_span[~own])
+        yield _without_reference(d[check], v[check], p[check])
         anchor, segments, doc, span = a[-1], [s[-1] for s in hashes], first_doc[-1], first_span[-1]
         several = bool(many[number[-1]])
 
 
 def _windows(width: int):
     """Hashes of the windows in the given spans of each text."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "doc_id", "version", "place")])
 
     def run(batches):
         for b in batches:
-            spans = b.column(2)
+            spans = b.column(3)
             asked = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             b = b.take(pa.array(asked))
             for i, j, texts in text_slices(b.column(1)):
                 words, part = Words(texts), b.slice(i, j - i)
-                lists = part.column(2)
+                lists = part.column(3)
                 size = lists.value_lengths().to_numpy()
                 flat = lists.flatten().to_numpy()
                 row = np.repeat(np.arange(j - i), size)
@@ -159,7 +168,7 @@ def _windows(width: int):
                 fits = at + width <= words.first[row + 1]
                 at, row, place = at[fits], row[fits], place[fits]
                 w1, w2 = (words.run(words.sums(salt), at, at + width).view(np.int64) for salt in (3, 4))
-                yield _record(schema, w1, w2, part.column(0).to_numpy()[row], place)
+                yield _record(schema, w1, w2, part.column(0).to_numpy()[row], part.column(2).to_numpy()[row], place)
 
     return run
 
@@ -193,28 +202,29 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     ``n_words``, ``n_removed`` and ``factors`` (start, length, ref_doc, ref_start, in words; factors
     may overlap at their borders). Columns of these three names are replaced, others pass through.
     NULL and empty texts have no words. Rows without doc_id lose and remove nothing. Rows that
-    repeat a doc_id are one document, so they never remove each other; what is found in one of
-    them is removed at that place of each. Segments and windows are compared by 128 bits of hash.
+    repeat a doc_id never remove each other; where their texts differ each is parsed on its own. Segments and windows are compared by 128 bits of hash.
     """
     if not gram < width < PACK + gram:
         raise ValueError("gram < width < gram + 16")
-    # Documents are read by both joins below in the same form, so they are shuffled once.
-    keyed = _keyed_spans(docs, width, gram, repeats=False)
-    blocks = keyed.repartition("anchor").sortWithinPartitions("anchor", "segment", "segment2", "doc_id", "span")
-    resolved = stored(blocks.mapInArrow(_resolve, _SPANS))
-    asked = resolved.where(F.col("ref_doc").isNull()).groupBy("doc_id").agg(F.collect_list("span").alias("_spans"))
     kept = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "factors")]
     names = [f.name for f in kept]
-    base = docs.select(*names)
-    windows = (base.join(asked, "doc_id", "left").select(F.col("doc_id").cast("long"), "text", "_spans")
-               .mapInArrow(_windows(width), "w1 long, w2 long, doc_id long, place long"))
+    version, spans = fresh(docs, "_version", "_spans")
+    # Documents are read by both joins below in the same form, so they are shuffled once.
+    base = _with_version(docs.select(*names), version)
+    keyed = _keyed_spans(base, version, width, gram, repeats=False)
+    blocks = keyed.repartition("anchor").sortWithinPartitions("anchor", "segment", "segment2", "doc_id", "version", "span")
+    resolved = stored(blocks.mapInArrow(_resolve, _SPANS))
+    one = ["doc_id", F.col("version").alias(version)]  # sets, as rows alike in both find the same
+    asked = resolved.where(F.col("ref_doc").isNull()).groupBy(*one).agg(F.collect_set("span").alias(spans))
+    windows = (base.join(asked, ["doc_id", version], "left").select(F.col("doc_id").cast("long"), "text", version, spans)
+               .mapInArrow(_windows(width), "w1 long, w2 long, doc_id long, version long, place long"))
     index = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1")
     found = (windows.join(index, ["w1", "w2"]).where(F.col("ref.doc_id") < F.col("doc_id"))
-             .select("doc_id", (F.col("place") * PACK + 1).alias("span"), F.col("ref.doc_id").alias("ref_doc"),
+             .select("doc_id", "version", (F.col("place") * PACK + 1).alias("span"), F.col("ref.doc_id").alias("ref_doc"),
                      (F.col("ref.place") * PACK + 1).alias("ref_span")))
-    spans = (resolved.where(F.col("ref_doc").isNotNull()).unionByName(found)
-             .unionByName(_keyed_spans(docs, width, gram, repeats=True))
-             .groupBy("doc_id").agg(F.collect_list(F.struct("span", "ref_doc", "ref_span")).alias("_spans")))
+    factors = (resolved.where(F.col("ref_doc").isNotNull()).unionByName(found)
+               .unionByName(_keyed_spans(base, version, width, gram, repeats=True))
+               .groupBy(*one).agg(F.collect_set(F.struct("span", "ref_doc", "ref_span")).alias(spans)))
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("factors", T.ArrayType(T.StructType(
                                [T.StructField(x, T.LongType()) for x in ("start", "length", "ref_doc", "ref_start")])))])
@@ -227,7 +237,7 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
                 words = [t.split() for t in texts]
                 n = np.array([len(w) for w in words])
                 first = np.concatenate([[0], np.cumsum(n)])
-                (row, *columns), gone = _removed(part.column("_spans"), first, width)
+                (row, *columns), gone = _removed(part.column(spans), first, width)
                 out = [b" ".join(compress(w, (~gone[first[k]:first[k + 1]]).tolist())).decode() for k, w in enumerate(words)]
                 lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
                 offsets = np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32)
@@ -238,7 +248,7 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(lost, pa.int64()), factors],
                                                  names=[*names, "n_words", "n_removed", "factors"])
 
-    return base.join(spans, "doc_id", "left").select(*names, "_spans").mapInArrow(parse, schema)
+    return base.join(factors, ["doc_id", version], "left").select(*names, spans).mapInArrow(parse, schema)
 
 
 def op1_substring_dedup(spark, sf_dir) -> DataFrame:
