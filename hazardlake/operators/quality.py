@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hazardlake.operators.clean import top_n
 from hazardlake.operators.layout import null_safe_join, select_features
-from hazardlake.sources.tables import cut_lineage
+from hazardlake.sources.tables import beside, cut_lineage, stored
 
 
 def filter_zero_fraction(long: DataFrame, n_samples, cut: float = 0.2,
@@ -62,13 +62,13 @@ def zscore(long: DataFrame, by=("modality",), reference=None) -> DataFrame:
     ``reference`` (a condition on rows) mean and sd come from those rows only and apply to all.
     """
     keys = [*by, "feature_id"]
-    rows = long
+    rows = long = stored(long)
     if reference is not None:
         rows = long.where(reference)
         keys = [c for c in keys if c != "role"]
     stats = rows.groupBy(*keys).agg(
         F.avg("value").alias("_mean"), F.nullif(F.stddev_samp("value"), F.lit(0.0)).alias("_sd"))
-    return (long.join(stats, keys)
+    return (long.join(beside(stats), keys)
             .withColumn("value", (F.col("value") - F.col("_mean")) / F.col("_sd"))
             .select(*long.columns))
 
@@ -95,11 +95,11 @@ def group_quantile(df: DataFrame, keys, value: str, q: float = 0.5, alias: str =
         F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside"), (F.col("_least") < F.col("_hi")).alias("_open")))
     inner = F.coalesce(F.col("_v") > F.col("_lo"), F.lit(True)) & (F.col("_v") <= F.col("_hi"))
     while True:
-        wide = bracket.where(F.col("_open") & (F.col("_inside") > fits))
+        wide = beside(bracket.where(F.col("_open") & (F.col("_inside") > fits)))
         if wide.isEmpty():
             break
         inside = null_safe_join(rows, wide, keys).where(inner)
-        cuts = inside.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", list(probes), 1000)).alias("_cuts"))
+        cuts = beside(inside.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", list(probes), 1000)).alias("_cuts")))
         part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
         counts = null_safe_join(inside, cuts, keys).groupBy(*keys, part.alias("_part")).agg(
             F.count("*").alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom"))
@@ -114,7 +114,7 @@ def group_quantile(df: DataFrame, keys, value: str, q: float = 0.5, alias: str =
             *keys, "_n", "_a", "_z", F.col("_f.lo").alias("_lo"), F.col("_t").alias("_hi"), F.col("_f.below").alias("_below"),
             F.col("_m").alias("_inside"), ((F.col("_s") < F.col("_t")) & (F.col("_m") < 0.9 * F.col("_inside"))).alias("_open"))
         bracket = cut_lineage(bracket.where(~(F.col("_open") & (F.col("_inside") > fits))).unionByName(shrunk))
-    counted = null_safe_join(rows, bracket, keys).where(inner).groupBy(*keys, "_n", "_a", "_z", "_below", "_v").agg(F.count("*").alias("_c"))
+    counted = null_safe_join(rows, beside(bracket), keys).where(inner).groupBy(*keys, "_n", "_a", "_z", "_below", "_v").agg(F.count("*").alias("_c"))
     running = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     picked = counted.withColumn("_cum", running).groupBy(*keys).agg(
         F.min(F.when(F.col("_cum") >= F.col("_a"), F.col("_v"))).alias("_low"),
@@ -125,6 +125,8 @@ def group_quantile(df: DataFrame, keys, value: str, q: float = 0.5, alias: str =
 def impute_median(long: DataFrame, by=("modality",)) -> DataFrame:
     """NULL becomes the exact median of its feature and group."""
     keys = [*by, "feature_id"]
-    med = group_quantile(long, keys, "value", alias="_med")
-    return (long.join(med, keys, "left")
+    long = stored(long)
+    gaps = long.where(F.col("value").isNull()).select(*keys).distinct()
+    med = group_quantile(null_safe_join(long, beside(gaps), keys), keys, "value", alias="_med")
+    return (long.join(beside(med), keys, "left")
             .withColumn("value", F.coalesce("value", "_med")).select(*long.columns))
