@@ -33,3 +33,16 @@ def test_statistics_go_to_the_rows(spark):
     want["value"] = want.value.fillna(want.groupby("feature_id").value.transform("median"))
     by = ["sample_id", "feature_id"]
     pd.testing.assert_frame_equal(imputed.toPandas().sort_values(by, ignore_index=True), want.sort_values(by, ignore_index=True))
+
+
+def test_distances_come_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(f"s{i:03d}", rng.normal(size=3).tolist()) for i in range(90)]
+    v = spark.createDataFrame(rows, "sample_id string, features array<double>")
+    whole = K.kmeans(v, [2, 3], 4, 5)
+    monkeypatch.setattr(K, "BLOCK", 70)
+    assert max(len(x) for x in K._blocks(np.zeros((90, 3)), 20)) == 3
+    blocks = K.kmeans(v, [2, 3], 4, 5)
+    for k in (2, 3):
+        assert blocks[k]["cost"] == pytest.approx(whole[k]["cost"])
+        np.testing.assert_allclose(blocks[k]["centers"], whole[k]["centers"])
