@@ -46,3 +46,22 @@ def test_distances_come_in_blocks(spark, monkeypatch):
     for k in (2, 3):
         assert blocks[k]["cost"] == pytest.approx(whole[k]["cost"])
         np.testing.assert_allclose(blocks[k]["centers"], whole[k]["centers"])
+
+
+def test_risk_sets_from_pieces(monkeypatch):
+    """Rows that come in pieces and another order, curvature and scores taken up piece by piece."""
+    rng = np.random.default_rng(3)
+    x, t, e = rng.normal(size=(60, 4)), rng.integers(1, 9, 60).astype(float), rng.integers(0, 2, 60)
+    one = coxpath.Risk(x, t, e)
+    keep, beta, use = np.ones((60, 1)), np.full((4, 1), 0.1), np.array([0, 2, 3])
+    parts = one.evaluate(beta, keep, one.deaths(keep))[2]
+    curve = one.hessian(use, *(p[:, 0] for p in parts))
+    scores = rng.integers(0, 9, (60, 5)).astype(float)
+    ranked = coxpath.concordance_columns(t, e, scores)
+    monkeypatch.setattr(coxpath, "PIECE", 7)
+    monkeypatch.setattr(coxpath, "SCORED", 130)
+    row = rng.permutation(60)
+    many = coxpath.Risk((x[row][lo:lo + 25] for lo in range(0, 60, 25)), t, e, row)
+    np.testing.assert_allclose(many.z, one.z, atol=1e-12)
+    np.testing.assert_allclose(many.hessian(use, *(p[:, 0] for p in parts)), curve, rtol=1e-9)
+    np.testing.assert_allclose(coxpath.concordance_columns(t, e, scores), ranked)
