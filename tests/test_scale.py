@@ -65,3 +65,16 @@ def test_risk_sets_from_pieces(monkeypatch):
     np.testing.assert_allclose(many.z, one.z, atol=1e-12)
     np.testing.assert_allclose(many.hessian(use, *(p[:, 0] for p in parts)), curve, rtol=1e-9)
     np.testing.assert_allclose(coxpath.concordance_columns(t, e, scores), ranked)
+
+
+def test_rounds_leave_the_shards_in_place(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [("m", f"s{i:03d}", x.tolist(), x.tolist()) for i, x in enumerate(rng.normal(size=(80, 4)))]
+    pairs = spark.createDataFrame(rows, "grp string, sample_id string, features array<double>, target array<double>")
+    monkeypatch.setattr(R, "SHARD_BYTES", 2000)
+    plans, cut = [], R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: plans.append(plan(df)) or cut(df))
+    assert R.dae_fit(pairs, 2, epochs=3, patience=9).count() == 1
+    rounds = [p.split("FlatMapCoGroupsInArrow")[1] for p in plans if "FlatMapCoGroupsInArrow" in p]
+    assert len(rounds) == 2
+    assert all("Exchange" not in p[:p.index("InMemoryTableScan")] for p in rounds)
