@@ -7,6 +7,9 @@ from hazardlake.functions import scalar as S
 from hazardlake.operators import layout as L
 from hazardlake.operators import quality as Q
 from hazardlake.operators.clean import first_per_key
+from hazardlake.sources.tables import stored
+
+TASK_ROWS = 1_000_000  # rows among which one task looks for the first specimens
 
 
 def one_specimen_per_sample(raw: DataFrame, eligible: DataFrame, length: int = 19,
@@ -15,9 +18,12 @@ def one_specimen_per_sample(raw: DataFrame, eligible: DataFrame, length: int = 1
     rows = raw if tumour is None else raw.where(F.col("sample_type") == tumour)
     rows = rows.withColumn("specimen", F.col("sample_id")).withColumn(
         "sample_id", S.barcode("sample_id", length))
-    rows = rows.join(eligible.select("sample_id"), "sample_id", "left_semi")
-    return first_per_key(rows.select("sample_id", "feature_id", "specimen", "value"),
-                         ["sample_id", "feature_id"], ["specimen"]).drop("specimen")
+    rows = rows.join(eligible.select("sample_id").hint("shuffle_hash"), "sample_id", "left_semi")
+    # A minimum of texts is found by sorting, so the rows are dealt to as many tasks as their number asks for.
+    rows = stored(rows.select("sample_id", "feature_id", "specimen", "value"))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(least, rows.count() // TASK_ROWS), "sample_id")
+    return stored(first_per_key(rows, ["sample_id", "feature_id"], ["specimen"]).drop("specimen"))
 
 
 def expression(raw: DataFrame, eligible: DataFrame, cohort: DataFrame, modality: str,

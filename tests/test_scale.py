@@ -78,3 +78,18 @@ def test_rounds_leave_the_shards_in_place(spark, monkeypatch):
     rounds = [p.split("FlatMapCoGroupsInArrow")[1] for p in plans if "FlatMapCoGroupsInArrow" in p]
     assert len(rounds) == 2
     assert all("Exchange" not in p[:p.index("InMemoryTableScan")] for p in rounds)
+
+
+def test_first_specimens_are_found_once(spark, monkeypatch):
+    names = [f"{'x' * 17}{s:02d}-{o:02d}" for s in range(6) for o in range(4)]
+    rows = [(n, f, float(i)) for i, n in enumerate(names) for f in ("a", "b") if (i + len(f)) % 3 or f == "b"]
+    raw = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
+    some = spark.createDataFrame([(f"{'x' * 17}{s:02d}",) for s in range(4)], "sample_id string")
+    monkeypatch.setattr(M, "TASK_ROWS", 4, raising=False)
+    got = M.one_specimen_per_sample(raw, some)
+    assert "Exchange" not in plan(got)
+    want = {}
+    for n, f, v in sorted(rows):
+        if n[:19] in {r.sample_id for r in some.collect()}:
+            want.setdefault((n[:19], f), v)
+    assert {(r.sample_id, r.feature_id): r.value for r in got.collect()} == want
