@@ -93,3 +93,21 @@ def test_first_specimens_are_found_once(spark, monkeypatch):
         if n[:19] in {r.sample_id for r in some.collect()}:
             want.setdefault((n[:19], f), v)
     assert {(r.sample_id, r.feature_id): r.value for r in got.collect()} == want
+
+
+def test_a_study_carries_its_own_samples_only(spark, monkeypatch):
+    """Rows of samples that lack a modality or are not in the cohort are not screened, scaled or copied."""
+    a, b, clin = matrix(spark, 12, "a"), matrix(spark, 9, "b"), matrix(spark, 12, "c")
+    cohort = spark.createDataFrame([(f"s{i:02d}", 10 + i, i % 2, "LUSC") for i in range(2, 12)],
+                                   "sample_id string, time int, event int, subtype string")
+
+    class Found(Exception):
+        pass
+
+    def seen(long, *rest):
+        raise Found(sorted(r.sample_id for r in long.select("sample_id").distinct().collect()))
+
+    monkeypatch.setattr(P, "screened", seen)
+    with pytest.raises(Found) as found:
+        P.run_experiment(a.unionByName(b), clin, cohort, {"a": "Gene", "b": "Meth", "c": "Clin"}, method="screen", k=2)
+    assert found.value.args[0] == [f"s{i:02d}" for i in range(2, 9)]
