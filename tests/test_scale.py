@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hazardlake.operators import cluster as K
 from hazardlake.operators import coxpath
@@ -111,3 +112,63 @@ def test_a_study_carries_its_own_samples_only(spark, monkeypatch):
     with pytest.raises(Found) as found:
         P.run_experiment(a.unionByName(b), clin, cohort, {"a": "Gene", "b": "Meth", "c": "Clin"}, method="screen", k=2)
     assert found.value.args[0] == [f"s{i:02d}" for i in range(2, 9)]
+
+
+def test_curvature_is_kept_along_the_path(monkeypatch):
+    """A Hessian serves many penalties; the gradient of every accepted point is its own, so the optimum is the same."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 9))
+    t, e = np.ceil(rng.exponential(np.exp(-x[:, :3].sum(1) / 3)) * 300), rng.integers(0, 2, 900)
+    risk, made, hessian = coxpath.Risk(x, t, e), [], coxpath.Risk.hessian
+    monkeypatch.setattr(coxpath.Risk, "hessian", lambda self, *args: (made.append(1), hessian(self, *args))[1])
+    keep = np.ones((900, 3))
+    keep[rng.random(900) < 0.1, 1] = 0
+    uses = [np.arange(9), np.arange(9), np.array([1, 4, 7, 8])]
+    lambdas = np.tile(0.3 * np.logspace(0, -4, 60), (3, 1))
+    beta, ok = coxpath.solve_path(risk, uses, keep, lambdas, 0.5)
+    assert ok.all() and 0 < len(made) < 3 * 60 / 4
+    n, deaths = keep.sum(0), risk.deaths(keep)
+    for l in (0, 20, 59):
+        grad = risk.evaluate(beta[:, l].T, keep, deaths)[1]
+        for c, use in enumerate(uses):
+            g, b = grad[use, c] / n[c] - lambdas[c, l] * 0.5 * beta[c, l, use], beta[c, l, use]
+            off = np.where(b != 0, np.abs(g - 0.5 * lambdas[c, l] * np.sign(b)), np.maximum(np.abs(g) - 0.5 * lambdas[c, l], 0))
+            assert off.max() < 1e-7 * 0.3 * 1.01
+
+
+def test_combinations_are_views_of_one_vector(spark, monkeypatch):
+    """Models of some positions each are those of their own vectors, and share the rows of the group."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 6)) * np.arange(1, 7)
+    df = spark.createDataFrame([("1", f"s{i:02d}", r.tolist()) for i, r in enumerate(x)], "grp string, sample_id string, features array<double>")
+    views = {"1|a": ("1", [0, 2, 5]), "1|b": ("1", list(range(6)))}
+    fit = R.pca_fit(df, {"1|a": 2, "1|b": 3}, views=views)
+    got = R.pca_project(df, fit, views=views).toPandas()
+    assert sorted(got.grp) == ["1|a"] * 60 + ["1|b"] * 60
+    for name, (_, ix) in views.items():
+        z = x[:, ix] - x[:, ix].mean(0)
+        u, s, _ = np.linalg.svd(z, full_matrices=False)
+        scores = np.stack(got[got.grp == name].sort_values("sample_id").features)
+        k = scores.shape[1]
+        np.testing.assert_allclose(np.abs(scores), np.abs(u * s)[:, :k], atol=1e-6)
+    scaled = Q.zscore_vectors(df.withColumn("features", F.concat("features", F.array(F.lit(3.0)))), ["grp"]).orderBy("sample_id").toPandas()
+    want = np.c_[(x - x.mean(0)) / x.std(0, ddof=1), np.zeros(60)]
+    np.testing.assert_allclose(np.stack(scaled.features), want, atol=1e-9)
+
+
+def test_principal_components_of_combinations_copy_no_rows(spark, monkeypatch):
+    """The study by components writes no feature once per combination."""
+    a, b, clin = matrix(spark, 40, "a"), matrix(spark, 40, "b"), matrix(spark, 40, "c")
+    cohort = spark.createDataFrame([(f"s{i:02d}", 10 + 7 * i % 23, i % 2, ("LUSC", "LUAD")[i // 3 % 2]) for i in range(40)],
+                                   "sample_id string, time int, event int, subtype string")
+    noise = F.hash("modality", "sample_id", "feature_id") % 1000 / 100
+    a, b, clin = (df.withColumn("value", noise.cast("double")) for df in (a, b, clin))
+
+    def copied(*_):
+        raise AssertionError("rows are copied for each combination")
+
+    monkeypatch.setattr(P.E, "expand_combos", copied)
+    out = P.run_experiment(a.unionByName(b), clin, cohort, {"a": "Gene", "b": "Meth", "c": "Clin"}, method="pca", k=2, nlambda=3,
+                           inner_folds=2, screen_sizes={"a": 3, "b": 2}, reduced_sizes={"a": 2, "b": 2}, early_size=2)["results"].toPandas()
+    early = out[out.integration == "early"]
+    assert sorted(early.data_types.unique()) == ["Gene-Clin", "Meth-Clin", "Meth-Gene", "Multimodal (Early)"] and len(early) == 8
