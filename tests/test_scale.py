@@ -172,3 +172,21 @@ def test_principal_components_of_combinations_copy_no_rows(spark, monkeypatch):
                            inner_folds=2, screen_sizes={"a": 3, "b": 2}, reduced_sizes={"a": 2, "b": 2}, early_size=2)["results"].toPandas()
     early = out[out.integration == "early"]
     assert sorted(early.data_types.unique()) == ["Gene-Clin", "Meth-Clin", "Meth-Gene", "Multimodal (Early)"] and len(early) == 8
+
+
+def test_filled_modalities_of_some_samples(spark, tmp_path):
+    """Brands and discounts of listed samples are the rows that all samples have, with the features of all."""
+    from hazardlake.sources import fixtures as X
+    tables = {
+        "customer": ([(i, "BUILDING") for i in range(6)], "c_custkey long, c_mktsegment string"),
+        "orders": ([(i, i % 6, "F", f"{i % 3}-P", f"1995-01-{1 + i:02d}") for i in range(18)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate string"),
+        "lineitem": ([(i % 18, i % 7, "AR"[i % 2], float(i), i / 100) for i in range(40)],
+                     "l_orderkey long, l_partkey long, l_returnflag string, l_quantity double, l_discount double"),
+        "part": ([(i, f"B{i}") for i in range(7)], "p_partkey long, p_brand string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    some = X.cohort(spark, str(tmp_path)).where("sample_id in ('1', '4')")
+    for source in (X.brand, X.discount):
+        whole = {tuple(r) for r in source(spark, str(tmp_path)).where("sample_id in ('1', '4')").collect()}
+        assert {tuple(r) for r in source(spark, str(tmp_path), some).collect()} == whole and len(whole) > 10
