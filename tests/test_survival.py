@@ -249,3 +249,27 @@ def test_ranks_over_many_ranges(spark, many_ranges):
         raw = np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
         for value, want in zip(p, np.minimum(raw, 1)):
             assert adjusted[g, value] == pytest.approx(want, rel=1e-12)
+
+
+def test_size_does_not_decide_what_is_found(spark, monkeypatch):
+    """A model whose rows are spread ends where a task ends, and its curvature may take several scans."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 6))
+    t = np.ceil(rng.exponential(np.exp(-3 * x[:, 0] - x[:, 1])) * 60)  # strong effects: most of the deviance is explained
+    rows = [("g", f"s{i:03d}", float(t[i]), int(i % 5 > 0), [float(v) for v in x[i]]) for i in range(90)]
+    df = spark.createDataFrame(rows, "grp string, sample_id string, time double, event int, features array<double>")
+    found = []
+    for limit in (coxnet.TASK_BYTES, 10):
+        monkeypatch.setattr(coxnet, "TASK_BYTES", limit)
+        monkeypatch.setattr(coxnet, "HESSIAN_BUDGET", 1000)
+        coefs, cv = coxnet.cox_elastic_net(df, {"all": range(6), "some": [1, 2, 5]}, nlambda=4, lambda_min_ratio=1e-2, nfolds=2)
+        found.append((coefs.orderBy("lambda_at", "mask", "pos").toPandas(), cv.orderBy("mask", "idx").toPandas()))
+    (a, b), (c, d) = found
+    assert b.converged.all() and d.converged.all()
+    for x, y in ((b, d), (a, c)):
+        assert (x.dtypes == y.dtypes).all()
+        for name in x.columns:
+            if x[name].dtype == float:
+                np.testing.assert_allclose(x[name], y[name], atol=2e-5)
+            else:
+                assert (x[name] == y[name]).all()
