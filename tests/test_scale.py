@@ -190,3 +190,19 @@ def test_filled_modalities_of_some_samples(spark, tmp_path):
     for source in (X.brand, X.discount):
         whole = {tuple(r) for r in source(spark, str(tmp_path)).where("sample_id in ('1', '4')").collect()}
         assert {tuple(r) for r in source(spark, str(tmp_path), some).collect()} == whole and len(whole) > 10
+
+
+def test_screened_combinations_copy_no_rows(spark, monkeypatch):
+    """The study by screening deals tests of features to combinations, never the values of samples."""
+    a, b, clin = matrix(spark, 40, "a"), matrix(spark, 40, "b"), matrix(spark, 40, "c")
+    cohort = spark.createDataFrame([(f"s{i:02d}", 10 + 7 * i % 23, i % 2, ("LUSC", "LUAD")[i // 3 % 2]) for i in range(40)],
+                                   "sample_id string, time int, event int, subtype string")
+    noise = F.hash("modality", "sample_id", "feature_id") % 1000 / 100
+    a, b, clin = (df.withColumn("value", noise.cast("double")) for df in (a, b, clin))
+    dealt, expand = [], P.E.expand_combos
+    monkeypatch.setattr(P.E, "expand_combos", lambda long, combos: (dealt.append(long.columns), expand(long, combos))[1])
+    out = P.run_experiment(a.unionByName(b), clin, cohort, {"a": "Gene", "b": "Meth", "c": "Clin"}, method="screen", k=2, nlambda=3,
+                           inner_folds=2, screen_sizes={"a": 3, "b": 3}, reduced_sizes={"a": 2, "b": 2}, early_size=2)["results"].toPandas()
+    assert dealt and not any("sample_id" in columns for columns in dealt)
+    early = out[out.integration == "early"]
+    assert sorted(early.data_types.unique()) == ["Gene-Clin", "Meth-Clin", "Meth-Gene", "Multimodal (Early)"] and len(early) == 8
