@@ -206,3 +206,17 @@ def test_screened_combinations_copy_no_rows(spark, monkeypatch):
     assert dealt and not any("sample_id" in columns for columns in dealt)
     early = out[out.integration == "early"]
     assert sorted(early.data_types.unique()) == ["Gene-Clin", "Meth-Clin", "Meth-Gene", "Multimodal (Early)"] and len(early) == 8
+
+
+def test_a_model_is_scored_in_parts(spark, monkeypatch):
+    """Rows that a task encodes are few whatever a task trains on, and parts change nothing."""
+    rng = np.random.default_rng(4)
+    rows = [("m", f"s{i:03d}", x.tolist(), x.tolist()) for i, x in enumerate(rng.normal(size=(90, 4)))]
+    pairs = spark.createDataFrame(rows, "grp string, sample_id string, features array<double>, target array<double>")
+    fit = R.cut_lineage(R.dae_fit(pairs, 2, epochs=2))
+    whole = R.dae_loss(pairs, fit).first().mse
+    monkeypatch.setattr(R, "PART_BYTES", 2000, raising=False)
+    dealt, shards = [], R._shards
+    monkeypatch.setattr(R, "_shards", lambda *args: dealt.append(shards(*args)) or dealt[-1])
+    assert R.dae_loss(pairs, fit).first().mse == pytest.approx(whole, rel=1e-12)
+    assert dealt[0][1] == {"m": 3}
